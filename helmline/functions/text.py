@@ -108,20 +108,22 @@ def token_coverage(have: Column, want: Column) -> Column:
 
 def quoted_chars(c: Column) -> Column:
     """Characters in fences (markers included), quote-prefixed lines and paired backtick spans."""
-    inline = F.length
-    step = lambda acc, ln: F.struct(
-        F.when(trim(ln).startswith(FENCE), ~acc["fence"]).otherwise(acc["fence"]).alias("fence"),
-        (
-            acc["n"]
-            + F.when(
-                acc["fence"] | trim(ln).startswith(FENCE) | trim(ln).startswith(">"), F.length(ln)
-            ).otherwise(
-                inline(F.array_join(F.regexp_extract_all(ln, F.lit("`[^`]*`"), F.lit(0)), ""))
-            )
-        ).alias("n"),
+    walked = F.transform(
+        lines(c),
+        lambda ln: F.struct(ln.alias("raw"), trim(ln).alias("head")),
     )
+
+    def step(acc, ln):
+        marker = ln["head"].startswith(FENCE)
+        whole = acc["fence"] | marker | ln["head"].startswith(">")
+        inline = F.array_join(F.regexp_extract_all(ln["raw"], F.lit("`[^`]*`"), F.lit(0)), "")
+        return F.struct(
+            F.when(marker, ~acc["fence"]).otherwise(acc["fence"]).alias("fence"),
+            (acc["n"] + F.when(whole, F.length(ln["raw"])).otherwise(F.length(inline))).alias("n"),
+        )
+
     init = F.struct(F.lit(False).alias("fence"), F.lit(0).alias("n"))
-    full = F.aggregate(lines(c), init, step, lambda acc: acc["n"])
+    full = F.aggregate(walked, init, step, lambda acc: acc["n"])
     # Texts without a marker of any kind need no line walk.
     return F.when(c.contains("`") | c.contains(">"), full).otherwise(F.lit(0))
 
@@ -133,7 +135,10 @@ def sentences(c: Column) -> Column:
     trimmed sentence. `contained` says that the span starts inside a fence or a quoted line. A span
     never crosses a line end, so the state of its line decides.
     """
-    spans = F.regexp_extract_all(c, F.lit(_SENTENCE), F.lit(0))
+    spans = F.transform(
+        F.regexp_extract_all(c, F.lit(_SENTENCE), F.lit(0)),
+        lambda s: F.struct(s.alias("raw"), trim(s).alias("head")),
+    )
     item_type = "array<struct<pos:int,start:int,end:int,chars:int,text:string,contained:boolean>>"
     init = F.struct(
         F.lit(0).alias("at"), F.lit(True).alias("bol"), F.lit(False).alias("fence"),
@@ -141,19 +146,19 @@ def sentences(c: Column) -> Column:
     )
 
     def step(acc, s):
-        head = trim(s)
+        head, raw = s["head"], s["raw"]
         marker = acc["bol"] & head.startswith(FENCE)
         fence = F.when(marker, ~acc["fence"]).otherwise(acc["fence"])
         inside = F.when(
             acc["bol"], acc["fence"] | marker | head.startswith(">")
         ).otherwise(acc["inside"])
-        end = acc["at"] + F.octet_length(s)
+        end = acc["at"] + F.octet_length(raw)
         item = F.struct(
             F.size(acc["out"]).alias("pos"), acc["at"].alias("start"), end.alias("end"),
-            F.length(s).alias("chars"), head.alias("text"), inside.alias("contained"),
+            F.length(raw).alias("chars"), head.alias("text"), inside.alias("contained"),
         )
         return F.struct(
-            end.alias("at"), s.endswith("\n").alias("bol"), fence.alias("fence"),
+            end.alias("at"), raw.endswith("\n").alias("bol"), fence.alias("fence"),
             inside.alias("inside"), F.concat(acc["out"], F.array(item)).alias("out"),
         )
 
@@ -189,13 +194,11 @@ def has_subject(prefix: Column) -> Column:
 def code_density(c: Column, span_pattern: str, path_pattern: str) -> Column:
     """Share of characters inside backtick spans or path tokens, overlaps counted once.
 
-    Each match is replaced by a run of marks of its own length; spans first, then paths over the
-    original, and the two marked copies are compared position by position.
+    Each pattern turns the text into a mask of its own length, and the masks are merged by position.
     """
     def marked(pattern):
-        # Split at the matches: pieces between matches keep their length, matches become marks.
         found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        gaps = F.split(F.regexp_replace(c, pattern, "\x01"), "\x01", -1)
+        gaps = F.split(c, pattern, -1)
         walk = F.zip_with(
             gaps, found,
             lambda g, m: F.concat(
