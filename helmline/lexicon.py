@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column
@@ -68,19 +69,16 @@ BASELINE_DISCRIMINATORS = {
 }
 # ---------------------------------------------------------------------------------------------
 
-_WORD = "[0-9A-Za-z_]"
+# Flags are switched off inside: case folding would let two non-ASCII letters pass for k and s.
+_WORD = "(?-iu:[0-9A-Za-z_])"
 _START = f"(?<!{_WORD})(?={_WORD})"
 _END = f"(?<={_WORD})(?!{_WORD})"
 _EDGE = f"(?:{_START}|{_END})"
+_ASCII_WORD = frozenset(string.ascii_letters + string.digits + "_")
 
 
-def to_java(pattern: str) -> str:
-    """Rewrite an RE2 pattern so that Java gives the same matches.
-
-    RE2's word boundary is ASCII; Java's counts accented letters as word characters. The boundary is
-    spelled out with look-around, one-sided where a neighbouring literal fixes the direction.
-    RE2's whitespace class has no vertical tab.
-    """
+def _spell_out(pattern: str, fold: bool) -> str:
+    """Spell out what Java reads differently: word boundary, whitespace, folded word characters."""
     out, i = [], 0
     while i < len(pattern):
         if pattern[i] != "\\" or i + 1 >= len(pattern):
@@ -89,13 +87,16 @@ def to_java(pattern: str) -> str:
             continue
         esc = pattern[i + 1]
         if esc == "b":
-            after = pattern[i + 2 : i + 4]
-            opens = after[:1].isalnum() and after[1:2] not in ("?", "*", "{")
             before = pattern[i - 1 : i]
             closes = before.isalnum() and pattern[i - 2 : i - 1] != "\\"
-            out.append(_START if opens else _END if closes else _EDGE)
-        elif esc == "s":
+            out.append(_END if closes and before.lower() not in "ks" else _EDGE)
+        elif esc in "sw":
             in_class = pattern[:i].count("[") > pattern[:i].count("]")
+            if esc == "w":
+                body = r"\w\u017F\u212A" if fold else r"\w"
+                out.append(body if in_class else f"[{body}]")
+                i += 2
+                continue
             out.append(r"\t\n\f\r " if in_class else r"[\t\n\f\r ]")
         else:
             out.append("\\" + esc)
@@ -103,6 +104,87 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """Top-level branches of a pattern."""
+    depth, in_class, cur, out, i = 0, False, "", [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            cur += pattern[i : i + 2]
+            i += 2
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        else:
+            depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0 and not in_class:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+        i += 1
+    return [*out, cur]
+
+
+def _first_letters(branch: str) -> set[str] | None:
+    """Letters a branch can begin with, or None when that is not a set of ASCII word characters."""
+    letters = set()
+    for alt in _alternatives(branch):
+        if alt[:1] == "(" and alt[1:2] != "?":
+            depth = end = 0
+            for end, ch in enumerate(alt):
+                depth += (ch == "(") - (ch == ")")
+                if depth == 0:
+                    break
+            inner = _first_letters(alt[1:end])
+            if inner is None:
+                return None
+            letters |= inner
+            optional, rest = alt[end + 1 : end + 2] in ("?", "*"), alt[end + 2 :]
+        elif alt[:1] in _ASCII_WORD and alt:
+            letters.add(alt[0].lower())
+            optional, rest = alt[1:2] in ("?", "*"), alt[2:]
+        else:
+            return None
+        if optional:
+            more = _first_letters(rest)
+            if more is None:
+                return None
+            letters |= more
+    return letters or None
+
+
+def to_java(pattern: str, fold: bool = True) -> str:
+    """Rewrite an RE2 pattern so that Java gives the same matches.
+
+    RE2's word boundary is ASCII; Java's counts accented letters as word characters, so it is spelled
+    out with look-around. Neighbouring branches that begin with a boundary and a known letter share
+    one test of that letter, which keeps the scan over a text cheap.
+    """
+    out, run, letters = [], [], set()
+
+    def flush():
+        if run:
+            heads = "".join(sorted(letters))
+            edge = _EDGE if fold and letters & {"k", "s"} else f"(?<!{_WORD})(?={_WORD})"
+            out.append(f"(?=[{heads}]){edge}(?:{'|'.join(run)})")
+            run.clear()
+            letters.clear()
+
+    for branch in _alternatives(pattern):
+        heads = _first_letters(branch[2:]) if branch.startswith(r"\b") else None
+        if heads is None:
+            flush()
+            out.append(_spell_out(branch, fold))
+        else:
+            run.append(_spell_out(branch[2:], fold))
+            letters.update(heads)
+    flush()
+    return "|".join(out)
+
+
 @dataclass(frozen=True)
 class MarkerGroup:
     phrases: tuple[str, ...] = ()
@@ -227,7 +309,8 @@ class Lexicon:
         for name, group in profile.markers.items():
             src = group.source()
             if src is not None:
-                self.java[name] = ("" if group.case_sensitive else "(?iu)") + to_java(src)
+                self.java[name] = ("" if group.case_sensitive else "(?iu)") + to_java(
+                    src, fold=not group.case_sensitive)
 
     def rules_hash(self) -> str:
         body = f"{RULES_VERSION}\x00{self.profile.fingerprint()}"
@@ -239,6 +322,21 @@ class Lexicon:
     def on(self, name: str) -> bool:
         return self.profile.discriminators.get(name, True)
 
+    def match_any(self, groups, col: Column) -> Column:
+        """True when some of the groups matches: one scan for all that ignore case."""
+        folded, rest = [], F.lit(False)
+        for name in groups:
+            group = self.profile.markers.get(name)
+            if group is None or group.source() is None:
+                continue
+            if group.case_sensitive:
+                rest = rest | self.match(name, col)
+            else:
+                folded += _alternatives(group.source())
+        # Branches with a leading boundary first, so that they end up in one run.
+        folded.sort(key=lambda b: not b.startswith(r"\b"))
+        return rest | col.rlike("(?iu)" + to_java("|".join(folded))) if folded else rest
+
     def match(self, group: str, col: Column) -> Column:
         p = self.java.get(group)
         return F.lit(False) if p is None else col.rlike(p)

@@ -271,8 +271,9 @@ def _folder(durability: int):
             for row in batch.to_pylist():
                 key = (row["stream_id"], row["stretch"])
                 f.feed(row)
-            made = [("event", e) for e in f.events] + [("turn", t) for t in f.turns]
-            f.events, f.turns = [], []
+            made = [(kind, body) for kind, found in
+                    (("event", f.events), ("turn", f.turns), ("cut", f.cuts)) for body in found]
+            f.events, f.turns, f.cuts = [], [], []
             rows = []
             for kind, body in made:
                 ord_ += 1
@@ -304,12 +305,14 @@ def turn_states(turns: DataFrame, episodes: DataFrame) -> DataFrame:
     at = episodes.where("out = 'turn'").select(
         "stream_id", "turn_index", "open_before", "open_turn", "open_after",
         F.when(F.col("local_no").isNotNull(), F.struct(*shown)).alias("state"))
-    d = turns.select("stream_id", "turn_index").join(at, CYCLE, "left")
+    cut = episodes.where("out = 'cut'").select(
+        "stream_id", "turn_index", F.col("open_before").alias("cut_open"))
+    d = turns.select("stream_id", "turn_index").join(at, CYCLE, "left").join(cut, CYCLE, "left")
     d = running(d, ["stream_id"], ["turn_index"], block_of(F.col("turn_index"), TURN_BLOCK),
                 {"repair": Run("last", F.col("state"))})
     no = F.lit(False)
     return d.select(
-        *CYCLE, F.coalesce("open_before", no).alias("open_before"),
+        *CYCLE, F.coalesce("cut_open", "open_before", no).alias("open_before"),
         F.coalesce("open_turn", no).alias("open_turn"),
         F.coalesce("open_after", no).alias("open_after"), "repair",
     )

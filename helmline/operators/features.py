@@ -57,6 +57,8 @@ def bucket_of(label: Column) -> Column:
 def segment_label(s: Column, lex=LEXICON, restated: Column | None = None) -> Column:
     """First matching rule. `restated` enters after reset and correction."""
     out = F.when(F.lit(False), "")
+    if restated is None:
+        out = F.when(~lex.match_any([g for g, _ in SEGMENT_RULES], s), "other")
     for i, (group, label) in enumerate(SEGMENT_RULES):
         if i == 2 and restated is not None:
             out = out.when(restated, RESTATED)
@@ -128,7 +130,7 @@ def candidates(sents: Column, lex=LEXICON) -> Column:
                                                   d["contained"], lex))
 
     marked = F.filter(
-        F.transform(F.filter(sents, lambda s: s["text"] != ""), probe),
+        F.transform(F.filter(sents, lambda s: lex.match_any(OBLIGATION_KINDS, s["text"])), probe),
         lambda p: p["kind"].isNotNull() & (F.octet_length(p["key"]) >= floor)
         & ~lex.match("release", p["text"]),
     )

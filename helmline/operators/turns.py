@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helmline.config import DEFAULT as CONFIG
 from helmline.functions import text as T
 from helmline.functions.ordered import (
-    RECORD_BLOCK, TURN_BLOCK, Run, block_of, framed, running,
+    RECORD_BLOCK, TURN_BLOCK, Run, block_of, framed, running, with_context,
 )
 
 
@@ -30,7 +30,7 @@ def sequence(features: DataFrame) -> DataFrame:
     agent_at = F.when(F.col("is_agent"), F.struct("seq", "ts"))
     d = running(
         features, ["stream_id"], ["seq"], block_of(F.col("seq"), RECORD_BLOCK),
-        {
+        reread=True, outs={
             "turn_index": Run("sum", op.cast("long")),
             "epoch_before": Run("sum", reset.cast("long"), strict=True),
             "last_agent": Run("last", agent_at, strict=True),
@@ -65,13 +65,8 @@ def recent_occurrence(items: DataFrame, reach: int) -> DataFrame:
     The turn axis is cut into blocks, so a norm that occurs in very many turns is many groups. Each
     block starts with copies of the `reach` turns before it.
     """
-    size = TURN_BLOCK
-    idx = F.col("turn_index")
-    blk = block_of(idx, size)
-    near_end = (idx % size) >= size - reach
-    homes = F.when(near_end, F.array(blk, blk + 1)).otherwise(F.array(blk))
     d = items.select("stream_id", "norm", "turn_index").distinct()
-    d = d.withColumn("__blk", F.explode(homes))
+    d, blk = with_context(d, F.col("turn_index"), reach)
     w = Window.partitionBy("stream_id", "norm", "__blk").orderBy("turn_index")
     return (
         d.withColumn("previous_turn", F.lag("turn_index").over(w))

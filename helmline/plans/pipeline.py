@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helmline.config import DEFAULT as CONFIG
-from helmline.functions.ordered import TURN_BLOCK, Run, block_of, running
+from helmline.functions.ordered import (
+    TURN_BLOCK, Layout, Run, block_of, current, layout, running,
+)
 from helmline.lexicon import DEFAULT as LEXICON
 from helmline.operators import episodes as E
 from helmline.operators import measures as M
@@ -58,14 +60,27 @@ def turn_table(sequenced: DataFrame, config=CONFIG) -> DataFrame:
     })
 
 
+def fitting_layout(features: DataFrame) -> Layout:
+    """Plain windows when the longest stream is one block; the two-level forms otherwise."""
+    base = current()
+    longest = features.agg(F.max("seq")).first()[0] or 0
+    return replace(base, split=base.split and longest >= min(base.record_rows, base.turn_rows))
+
+
 def analyze(records: DataFrame, lex=LEXICON, config=CONFIG) -> Analysis:
     feats = stage(record_features(records, lex, config), "features")
+    with layout(fitting_layout(feats)):
+        return _analyze(feats, lex, config)
+
+
+def _analyze(feats: DataFrame, lex, config) -> Analysis:
     seqd = stage(W.sequence(feats), "sequenced")
     turns0 = stage(turn_table(seqd, config), "turns")
 
     occ = stage(O.occurrences(turns0), "occurrences")
-    intro = O.introductions(occ)
-    claims = stage(O.releases(O.release_pairs(turns0, intro, lex), occ), "claims")
+    intro = stage(O.introductions(occ), "introductions")
+    pairs = stage(O.release_pairs(turns0, intro, lex), "pairs")
+    claims = stage(O.releases(pairs, occ), "claims")
     led = stage(O.ledger(occ, claims), "ledger")
     stated = O.statements(occ, led)
 
