@@ -97,21 +97,28 @@ def with_stretches(turns: DataFrame, cyc: DataFrame, overlap: DataFrame, config=
         "next_reset": Run("last", F.when(F.col("reset"), idx)),
         "later_reset": Run("last", F.when(F.col("reset"), idx), strict=True),
     }, descending=True)
-    text, struct = F.col("is_correction"), F.col("overlap").isNotNull() & ~F.col("is_correction")
-    d = d.withColumn("opens", F.when(text, "text").when(struct, "structural"))
+    # A correction leaves its episode open over the whole cycle, unless its own turn resets.
+    text = F.col("is_correction")
+    struct = F.col("overlap").isNotNull() & (~text | F.col("reset"))
     quiet = F.greatest(F.coalesce(F.col("next_answer"), F.lit(NEVER)) + 1, idx + D) + D
-    ended = F.when(text, F.col("next_reset")).otherwise(F.col("later_reset"))
+    text_quiet = F.when(text, F.least(quiet, F.col("next_reset")))
+    struct_quiet = F.when(struct, F.least(quiet, F.col("later_reset")))
     d = d.withColumns({
-        "quiet_at": F.when(F.col("opens").isNotNull(), F.least(quiet, ended)),
-        "open_key": F.when(text, F.col("target_key")).when(struct, F.get("overlap", 0)),
+        "opens": F.when(text, "text").when(struct, "structural"),
+        "quiet_at": F.greatest(text_quiet, struct_quiet),
+        "open_keys": F.array_compact(F.array(
+            F.when(text, F.struct(F.col("target_key").alias("key"), text_quiet.alias("until"))),
+            F.when(struct, F.struct(F.get("overlap", 0).alias("key"), struct_quiet.alias("until"))),
+        )),
         "closes": ~text & (F.col("moves") | ~F.col("on_episode"))
         & F.coalesce(F.col("before_records") > 0, F.lit(False)),
     })
-    keyed = d.where("opens is not null and open_key <> ''").select(
-        *CYCLE, "open_key", "quiet_at")
+    keyed = d.select(*CYCLE, F.explode("open_keys").alias("o")).select(
+        *CYCLE, F.col("o.key").alias("open_key"), F.col("o.until").alias("until")
+    ).where("open_key <> ''").groupBy(*CYCLE, "open_key").agg(F.max("until").alias("until"))
     linked = running(keyed, ["stream_id", "open_key"], ["turn_index"], blk, {
         "again": Run("last", idx, strict=True)}, descending=True)
-    linked = linked.where("again <= quiet_at").select(*CYCLE, F.col("again").alias("link_end"))
+    linked = linked.where("again <= until").groupBy(*CYCLE).agg(F.max("again").alias("link_end"))
     d = d.join(linked, CYCLE, "left")
     d = running(d, ["stream_id"], ["turn_index"], blk, {
         "live_before": Run("max", F.col("quiet_at"), strict=True),
