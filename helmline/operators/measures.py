@@ -120,6 +120,28 @@ TREND_METRICS = ("serialization_inflation", "control_plane_burden", "forward_wor
                  "dereference", "repair_depth")
 
 
+def pollution(repaired: Column, expansions: Column, immediate: Column, writes: Column,
+              named: Column) -> Column:
+    """Status and premise of the response to a correction: struct<status,premise>."""
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("status"), F.lit("").alias("premise")))
+    rules = (
+        (repaired.isNull() & ~named, "unknown", "no path was named"),
+        (repaired.isNull() & (writes == 0), "unknown", "no write was seen"),
+        (repaired.isNull(), "unknown", "no write reached the target"),
+        (~repaired, "failed", "the target was not repaired"),
+        (expansions > 0, "polluted", "repaired with unrequested work"),
+        (~immediate, "clean", "repaired, nothing added, not corrected"),
+        (F.lit(True), "unknown", "repaired and still corrected"),
+    )
+    for cond, status, premise in rules:
+        out = out.when(cond, F.struct(F.lit(status).alias("status"), F.lit(premise).alias("premise")))
+    return out
+
+
+def magnification(chars: Column, pointer_chars: Column) -> Column:
+    return F.when(pointer_chars > 0, chars / pointer_chars)
+
+
 # ---- regime -----------------------------------------------------------------------------------
 def regime(df: DataFrame, config=CONFIG) -> DataFrame:
     """Regime and the rule that decided it. A NULL measure satisfies no comparison."""

@@ -12,27 +12,15 @@ from helmline.operators.corpus import sampled
 EXCERPT = 600
 
 
-def excerpt(s: Column, n: int = EXCERPT) -> Column:
-    """At most n bytes, cut on a character boundary, with an ellipsis when cut.
-
-    A prefix of n code points holds every such cut; characters that end past n bytes are dropped.
-    """
-    head = F.substring(s, 1, n)
-    wide = F.octet_length(head) - F.length(head)
-    # Shrink until it fits: each pass drops at least the overshoot divided by four.
-    cut = head
-    for _ in range(2):
-        over = F.octet_length(cut) - n
-        cut = F.when(over > 0, F.substring(cut, F.lit(1), F.length(cut) - F.ceil(over / 4))).otherwise(cut)
-    kept = F.aggregate(
-        F.sequence(F.lit(1), F.lit(n)), F.struct(F.lit(0).alias("b"), F.lit(0).alias("k")),
-        lambda acc, i: F.when(
-            (acc["k"] == i - 1) & (i <= F.length(head))
-            & (acc["b"] + F.octet_length(F.substring(head, i, F.lit(1))) <= n),
-            F.struct((acc["b"] + F.octet_length(F.substring(head, i, F.lit(1)))).alias("b"),
-                     i.alias("k"))).otherwise(acc),
-        lambda acc: acc["k"])
-    exact = F.when(wide == 0, F.substring(head, 1, n)).otherwise(F.substring(head, F.lit(1), kept))
+def excerpt(s: Column, n: Column | int = EXCERPT) -> Column:
+    """At most n bytes, cut on a character boundary, with an ellipsis when cut."""
+    n = F.lit(n) if isinstance(n, int) else n
+    head = F.substring(s, F.lit(1), n)
+    fits = F.size(F.filter(
+        F.sequence(F.lit(1), F.length(head)),
+        lambda i: F.octet_length(F.substring(head, F.lit(1), i)) <= n))
+    exact = F.when(F.octet_length(head) == F.length(head), head).otherwise(
+        F.substring(head, F.lit(1), fits))
     return F.when(F.octet_length(s) <= n, s).otherwise(F.concat(exact, F.lit("…")))
 
 
@@ -58,8 +46,9 @@ def cycle_context(records: DataFrame, sequenced: DataFrame, per_mille: int = 0)
         texts, ["stream_id", "seq"]).select(*key, "seq", excerpt(c("text")).alias("x"))
     said = running(said, key, ["seq"], block_of(c("seq"), RECORD_BLOCK),
                    {"before": Run("sum", F.octet_length("x") + 1, strict=True)})
-    said = said.where(c("before") < EXCERPT).withColumn(
-        "x", F.when(c("before") + F.octet_length("x") <= EXCERPT, c("x")).otherwise(c("x")))
+    room = (F.lit(EXCERPT) - c("before")).cast("int")
+    said = said.where(c("before") < EXCERPT).join(texts, ["stream_id", "seq"]).select(
+        *key, "seq", "before", excerpt(c("text"), room).alias("x"))
     talk = said.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "before", "x"))).alias("t"))
     talk = talk.select(*key, F.trim(F.array_join(F.transform("t", lambda r: r["x"]), " ")).alias("agent_said"))
     rest = sequenced.where("not is_op").groupBy(*key).agg(
