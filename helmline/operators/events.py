@@ -61,7 +61,9 @@ def event_log(a) -> DataFrame:
                 "quoted_chars", "gap_seconds_previous", "gap_seconds_previous_human", "snippet")
     at_turn = turns.select("stream_id", "turn_index", c("seq").alias("at_seq"),
                            c("epoch_before").alias("e"))
-    states = a.episodes.where("out = 'event'")
+    both = turns.select("stream_id", "turn_index", "epoch_before", c("epoch").alias("epoch_after"))
+    states = a.episodes.where("out = 'event'").join(both, ["stream_id", "turn_index"]).withColumn(
+        "e", F.when(c("phase") <= 5, c("epoch_before")).otherwise(c("epoch_after")))
     phase = c("phase")
     parts = [
         made(rec, 10, "record_observed", "observed", js(*observed), epoch="epoch_before"),

@@ -156,7 +156,7 @@ def anchors(a) -> DataFrame:
 
 
 def csv_value(v: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", v.cast("double")), F.lit("unknown"))
+    return F.when(v.isNull(), "unknown").otherwise(F.format_string("%.4f", v.cast("double")))
 
 
 def timeline(snapshots: DataFrame) -> DataFrame:

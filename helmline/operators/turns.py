@@ -14,6 +14,7 @@ from helmline.functions.ordered import (
 
 def elapsed(start: Column, end: Column) -> Column:
     """Seconds between two timestamps; NULL when one is missing or time runs backwards."""
+    start, end = start.cast("timestamp"), end.cast("timestamp")
     secs = (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
     return F.when(end >= start, secs)
 

@@ -131,7 +131,7 @@ CTES = {
   SELECT *, {first_of([(m(g, 's'), lit(g)) for g in ('stop', 'scope', 'negative', 'positive')], 'NULL')} AS kind,
     {norm('s')} AS key, {toks('s')} AS tk,
     {m('second_person', 's')} AS second_person,
-    least({', '.join(f"CASE WHEN {m(g, 's')} THEN strpos(s, {find(g, 's')}) END" for g in ('stop', 'scope', 'negative', 'positive'))}) AS at
+    least({', '.join(f"CASE WHEN {m(g, 's')} THEN strpos(s, {find(g, 's')}) END" for g in ('stop', 'scope', 'negative', 'positive'))}) AS mk_at
   FROM sent WHERE NOT {m('release', 's')}"""),
     "cands": (["cand"], f"""
   SELECT *, CASE WHEN len(content) = 0 THEN '' ELSE
@@ -141,7 +141,7 @@ CTES = {
   FROM (SELECT *,
       list_distinct(list_filter(tk, lambda t: strlen(t) >= 2 AND NOT list_contains(
         {words(CLOSED_CLASS_WORDS + NEGATION_WORDS)}, t))) AS content,
-      len(list_filter({toks('substr(s, 1, at - 1)')}, lambda t: NOT list_contains({words(PRE_SUBJECT_WORDS)}, t))) > 0 AS subject
+      len(list_filter({toks('substr(s, 1, mk_at - 1)')}, lambda t: NOT list_contains({words(PRE_SUBJECT_WORDS)}, t))) > 0 AS subject
     FROM cand WHERE kind IS NOT NULL AND strlen(key) >= 8)"""),
     "ptr": (["turns"], "SELECT stream_id, seq, turn_index, epoch_before, chars, ptype, ptext, length(ptext) AS pchars, "
             + norm("ptext") + " AS pkey FROM (SELECT *, "
@@ -237,14 +237,14 @@ CTES = {
     "base": (["turns", "ptr"], """
   SELECT t.stream_id, t.epoch_before, t.turn_index, t.chars, t.tier1, p.ptype FROM turns t LEFT JOIN ptr p USING (stream_id, seq)"""),
     "entries": (["base"], """
-  SELECT stream_id, epoch_before, turn_index AS at, 1 AS late, turn_index AS ord, chars FROM base WHERE tier1 IS NULL AND ptype IS NULL
+  SELECT stream_id, epoch_before, turn_index AS app, 1 AS late, turn_index AS ord, chars FROM base WHERE tier1 IS NULL AND ptype IS NULL
   UNION ALL
   SELECT b.stream_id, b.epoch_before, b.turn_index + 2, 0, b.turn_index, b.chars FROM base b JOIN base c
     ON c.stream_id = b.stream_id AND c.epoch_before = b.epoch_before AND c.turn_index = b.turn_index + 2
   WHERE b.tier1 IS NULL AND b.ptype IS NOT NULL"""),
     "basel": (["base", "entries"], """
   SELECT b.*, (SELECT list(chars) FROM (SELECT chars FROM entries e WHERE e.stream_id = b.stream_id AND e.epoch_before = b.epoch_before
-      AND (e.at < b.turn_index OR (e.at = b.turn_index AND e.late = 0)) ORDER BY e.at DESC, e.late DESC, e.ord DESC LIMIT 30)) AS xs
+      AND (e.app < b.turn_index OR (e.app = b.turn_index AND e.late = 0)) ORDER BY e.app DESC, e.late DESC, e.ord DESC LIMIT 30)) AS xs
   FROM base b"""),
     "simple": (["turns"], """
   SELECT *, lag(regime, 1, 'FLOW') OVER (PARTITION BY stream_id ORDER BY turn_index) AS was FROM (
@@ -309,6 +309,8 @@ def build(final: str, *need: str, **fmt) -> str:
     if not order:
         return final
     body = ",\n".join(f"{n} AS ({CTES[n][1].format(**fmt) if n in fmt.get("only", ()) else CTES[n][1]})" for n in order)
+    if final.startswith("WITH "):
+        return f"WITH {body},\n{final[5:]}"
     return f"WITH {body}\n{final}"
 
 
@@ -335,8 +337,8 @@ REGIME_RULE = """CASE WHEN l_partkey % 19 = 0 THEN 'reset'
 
 def _gaps(src, op):
     return f"""SELECT stream_id, seq,
-  CASE WHEN ts >= lr THEN round(epoch_us(ts) / 1e6 - epoch_us(lr) / 1e6, 6) END AS gap_previous,
-  CASE WHEN ts >= lh THEN round(epoch_us(ts) / 1e6 - epoch_us(lh) / 1e6, 6) END AS gap_human FROM (
+  CASE WHEN ts >= lr THEN round(epoch_us(ts) / 1e6 - epoch_us(lr) / 1e6, 10) END AS gap_previous,
+  CASE WHEN ts >= lh THEN round(epoch_us(ts) / 1e6 - epoch_us(lh) / 1e6, 10) END AS gap_human FROM (
   SELECT *, last_value(ts IGNORE NULLS) OVER w AS lr, last_value(CASE WHEN {op} THEN ts END IGNORE NULLS) OVER w AS lh
   FROM {src} WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
@@ -348,7 +350,7 @@ SELECT id, project, {extra} AS split FROM dealt {cap}"""
 
 _DEAL = "CASE WHEN (odd + nth - 1) % 2 = 1 THEN 'holdout' ELSE 'dev' END"
 _PAIRS_REL = f"""
-SELECT stream_id, seq, pos, md5(key) AS key_md5, shared, round(shared::DOUBLE / len(want), 6) AS cover FROM (
+SELECT stream_id, seq, pos, md5(key) AS key_md5, shared, round(shared::DOUBLE / len(want), 10) AS cover FROM (
   SELECT r.stream_id, r.seq, r.pos, i.key, i.want, len(list_intersect(i.want, r.have)) AS shared
   FROM (SELECT *, list_distinct({toks("replace_first")}) AS have FROM (
       SELECT *, substr(s, 1, strpos(s, mk) - 1) || ' ' || substr(s, strpos(s, mk) + length(mk)) AS replace_first FROM (
@@ -358,7 +360,7 @@ SELECT stream_id, seq, pos, md5(key) AS key_md5, shared, round(shared::DOUBLE /
     ON i.stream_id = r.stream_id AND i.epoch_before = r.epoch_before AND i.t0 < r.turn_index)
 WHERE shared >= 2 AND shared::DOUBLE / len(want) >= 0.5"""
 _NEAR = f"""
-SELECT stream_id, seq, md5(key) AS key_md5, md5(pkey) AS prior_md5, round(j, 6) AS jaccard FROM (
+SELECT stream_id, seq, md5(key) AS key_md5, md5(pkey) AS prior_md5, round(j, 10) AS jaccard FROM (
   SELECT o.stream_id, o.seq, o.key, i.key AS pkey, {jac("o.tks", "i.tks")} AS j
   FROM (SELECT *, list_distinct({toks("key")}) AS tks FROM occ) o
   JOIN (SELECT *, list_distinct({toks("key")}) AS tks FROM (SELECT stream_id, epoch_before, identity, min(turn_index) AS t0,
@@ -394,8 +396,8 @@ FROM lbl GROUP BY 1""", "lbl")
     o["f04_tokens"] = f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {toks('text')} AS t FROM documents)"
     nb = f"""FROM (SELECT conv_id, turn, list_distinct({toks('text')}) AS have FROM conversations) a
   JOIN (SELECT conv_id, turn + 1 AS turn, list_distinct({toks('text')}) AS want FROM conversations) b USING (conv_id, turn)"""
-    o["f05_jaccard"] = f"SELECT conv_id, turn, round({jac('have', 'want')}, 6) AS jaccard {nb}"
-    o["f06_token_coverage"] = f"""SELECT conv_id, turn, CASE WHEN len(want) = 0 THEN 0.0 ELSE round(len(list_intersect(have, want))::DOUBLE / len(want), 6) END AS cover,
+    o["f05_jaccard"] = f"SELECT conv_id, turn, round({jac('have', 'want')}, 10) AS jaccard {nb}"
+    o["f06_token_coverage"] = f"""SELECT conv_id, turn, CASE WHEN len(want) = 0 THEN 0.0 ELSE round(len(list_intersect(have, want))::DOUBLE / len(want), 10) END AS cover,
   len(list_intersect(have, want)) AS shared {nb}"""
     o["f07_quoted_chars"] = q(f"""SELECT stream_id, seq, coalesce(x, 0) AS quoted_chars FROM recs LEFT JOIN (
   SELECT stream_id, seq, sum(CASE WHEN starts_with(head, '```') OR before % 2 = 1 OR starts_with(head, '>') THEN length(ln)
@@ -409,11 +411,12 @@ FROM lbl GROUP BY 1""", "lbl")
     mask = lambda p: (f"array_to_string(list_transform(range(1, len(regexp_split_to_array(text, {lit(p)})) + 1), lambda i: "
                       f"repeat('0', length(regexp_split_to_array(text, {lit(p)})[i])) || repeat('1', coalesce(length(regexp_extract_all(text, {lit(p)})[i]), 0))), '')")
     o["f10_code_density"] = q(f"""SELECT stream_id, seq, CASE WHEN length(text) = 0 THEN 0.0 ELSE
-  round(len(list_filter(range(1, length(text) + 1), lambda i: substr(a, i, 1) = '1' OR substr(b, i, 1) = '1'))::DOUBLE / length(text), 6) END AS code_density
+  round(len(list_filter(range(1, length(text) + 1), lambda i: substr(a, i, 1) = '1' OR substr(b, i, 1) = '1'))::DOUBLE / length(text), 10) END AS code_density
 FROM (SELECT *, {mask(code)} AS a, {mask(path)} AS b FROM recs)""", "recs")
     o["f11_normalize_target"] = r"""SELECT page_id, CASE WHEN c = '/en' THEN '.' WHEN starts_with(c, '/en/') THEN substr(c, 5) ELSE c END AS target FROM (
-  SELECT page_id, CASE n WHEN 0 THEN p || '/x' WHEN 1 THEN p || '/x' WHEN 2 THEN p || '/x' WHEN 3 THEN 'rel/a.py' WHEN 4 THEN '/en' ELSE p END AS c
-  FROM (SELECT page_id, page_id % 6 AS n, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS p FROM pages))"""
+  SELECT page_id, CASE WHEN n IN (0, 1, 2) THEN p || '/x' WHEN n = 3 THEN 'rel/a.py' WHEN n = 4 THEN '/en' WHEN raw <> '' AND p = '' THEN '/' ELSE p END AS c
+  FROM (SELECT *, regexp_replace(regexp_replace(raw, '/+', '/', 'g'), '/$', '') AS p FROM (
+    SELECT page_id, page_id % 6 AS n, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS raw FROM pages)))"""
     o["f12_write_targets"] = q("""SELECT stream_id, seq, array_to_string(CASE WHEN write_path = write_path2 THEN [write_path] ELSE writes END, ',') AS writes,
   array_to_string(CASE WHEN write_path = write_path2 THEN [write_path] ELSE writes END, ',') AS paths, n_failed AS failed FROM recs""", "recs")
     o["f13_marker_groups"] = q("SELECT grp, n FROM (" + " UNION ALL ".join(
@@ -434,8 +437,8 @@ FROM (SELECT *, len(string_split(text, chr(10))) > 40 AS bulk FROM documents)"""
   {m('expansion_constraint', 'text')}::BIGINT AS exp_constraint, (n_actions = 0 AND {m('expansion_scope', 'text')})::BIGINT AS exp_scope, {m('repair_verb', 'text')} AS claim FROM recs WHERE is_agent""", "recs")
     o["f26_snippet"] = "SELECT doc_id, substr(text, 1, 160) AS snippet FROM documents"
     o["f27_correction_key"] = q("SELECT stream_id, seq, coalesce(ptype, 'unknown') AS target_type, md5(tkey0) AS key_md5 FROM corr", "corr")
-    o["f28_ratio_median"] = """SELECT l_suppkey, round(median(l_quantity) FILTER (l_returnflag = 'R'), 6) AS med,
-  round(count(*) FILTER (l_returnflag = 'A') / nullif(count(*) FILTER (l_tax > 0.07), 0), 6) AS ratio FROM lineitem GROUP BY 1"""
+    o["f28_ratio_median"] = """SELECT l_suppkey, round(median(l_quantity) FILTER (l_returnflag = 'R'), 10) AS med,
+  round(count(*) FILTER (l_returnflag = 'A') / nullif(count(*) FILTER (l_tax > 0.07), 0), 10) AS ratio FROM lineitem GROUP BY 1"""
     o["f29_event_id"] = "SELECT event_id, substr(sha256(user_id || chr(0) || event_id || chr(0) || event_type || chr(0) || (event_id % 3) || chr(0) || '1'), 1, 32) AS id FROM events"
     o["f30_bands"] = f"SELECT *, count(*) AS n FROM (SELECT {BANDS} FROM lineitem) GROUP BY ALL"
     o["f31_pollution"] = """SELECT CASE WHEN r IS NULL THEN 'unknown' WHEN NOT r THEN 'failed' WHEN e > 0 THEN 'polluted' WHEN NOT im THEN 'clean' ELSE 'unknown' END AS status,
@@ -445,9 +448,9 @@ FROM (SELECT *, len(string_split(text, chr(10))) > 40 AS bulk FROM documents)"""
 GROUP BY 1, 2"""
     o["f32_regime"] = f"""SELECT CASE WHEN r = 'recovery_open' THEN 'RECOVERY' ELSE upper(split_part(r, '_', 1)) END AS regime, r AS regime_rule, count(*) AS n
 FROM (SELECT {REGIME_RULE} AS r FROM lineitem) GROUP BY 1, 2"""
-    o["f33_duration_magnification"] = """SELECT a.event_id, CASE WHEN a.event_id % 2 = 0 THEN CASE WHEN b.ts >= a.ts THEN round((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6, 6) END
-  ELSE CASE WHEN a.ts >= b.ts THEN round((epoch_us(a.ts) - epoch_us(b.ts)) / 1e6, 6) END END AS seconds,
-  CASE WHEN floor(b.value - 5) > 0 THEN round(a.value / floor(b.value - 5), 6) END AS magnification FROM events a JOIN events b ON b.event_id = a.event_id + 7"""
+    o["f33_duration_magnification"] = """SELECT a.event_id, CASE WHEN a.event_id % 2 = 0 THEN CASE WHEN b.ts >= a.ts THEN round((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6, 10) END
+  ELSE CASE WHEN a.ts >= b.ts THEN round((epoch_us(a.ts) - epoch_us(b.ts)) / 1e6, 10) END END AS seconds,
+  CASE WHEN floor(b.value - 5) > 0 THEN round(a.value / floor(b.value - 5), 10) END AS magnification FROM events a JOIN events b ON b.event_id = a.event_id + 7"""
     o["w01_turn_index"] = q("SELECT stream_id, seq, turn_index::BIGINT AS turn_index FROM seqd", "seqd")
     o["w02_epoch"] = q("SELECT stream_id, seq, epoch_before::BIGINT AS epoch_before, epoch::BIGINT AS epoch FROM seqd", "seqd")
     o["w03_rolling_epoch"] = q("SELECT stream_id, turn_index, opens_epoch, first_before FROM turns", "turns")
@@ -458,15 +461,15 @@ SELECT stream_id, turn_index, sum(length(ln))::BIGINT AS repeat_chars FROM l a W
   AND b.turn_index < a.turn_index AND b.turn_index >= greatest(a.turn_index - 30, coalesce(a.first_before + 1, 1))) GROUP BY 1, 2""", "turns")
     o["w06_restated_sentences"] = q("SELECT stream_id, turn_index, array_to_string(list_sort(list(pos)), ',') AS restated FROM restated GROUP BY 1, 2", "restated")
     tt = f"(SELECT stream_id, turn_index, first_before, list_distinct({toks('text')}) AS tk FROM turns)"
-    o["w07_overlap_previous"] = q(f"""SELECT a.stream_id, a.turn_index, round({jac("a.tk", "coalesce(b.tk, []::VARCHAR[])")}, 6) AS overlap FROM {tt} a LEFT JOIN {tt} b
+    o["w07_overlap_previous"] = q(f"""SELECT a.stream_id, a.turn_index, round({jac("a.tk", "coalesce(b.tk, []::VARCHAR[])")}, 10) AS overlap FROM {tt} a LEFT JOIN {tt} b
   ON b.stream_id = a.stream_id AND b.turn_index = a.turn_index - 1 AND b.turn_index >= coalesce(a.first_before + 1, 1)""", "turns")
-    o["w08_overlap_window"] = q(f"""SELECT stream_id, turn_index, round({jac("tk", "u")}, 6) AS overlap FROM (
+    o["w08_overlap_window"] = q(f"""SELECT stream_id, turn_index, round({jac("tk", "u")}, 10) AS overlap FROM (
   SELECT a.stream_id, a.turn_index, any_value(a.tk) AS tk, coalesce(list_distinct(flatten(list(b.tk) FILTER (b.tk IS NOT NULL))), []::VARCHAR[]) AS u FROM {tt} a LEFT JOIN {tt} b
   ON b.stream_id = a.stream_id AND b.turn_index < a.turn_index AND b.turn_index >= greatest(a.turn_index - 30, coalesce(a.first_before + 1, 1)) GROUP BY 1, 2)""", "turns")
     o["w09_window_shares"] = q("""SELECT stream_id, seq, turn_index, fw::BIGINT AS forward_chars, co::BIGINT AS control_chars, re::BIGINT AS recovery_chars, rs::BIGINT AS restate_chars, ot::BIGINT AS other_chars,
-  round(fw / nullif(total, 0), 6) AS forward_work_share, round((co + re + rs) / nullif(total, 0), 6) AS control_plane_burden, round(rs / nullif(total, 0), 6) AS restate_burden FROM shares""", "shares")
-    o["w10_control_baseline"] = q("""SELECT stream_id, turn_index, CASE WHEN len(xs) >= 8 THEN round(list_median(xs), 6) END AS baseline_chars, coalesce(len(xs), 0) AS baseline_turns FROM basel""".replace("list_median(xs)", "list_aggregate(xs, 'median')"), "basel")
-    o["w11_serialization_inflation"] = q("SELECT stream_id, turn_index, CASE WHEN len(xs) >= 8 THEN round(chars / nullif(list_aggregate(xs, 'median'), 0), 6) END AS inflation FROM basel", "basel")
+  round(fw / nullif(total, 0), 10) AS forward_work_share, round((co + re + rs) / nullif(total, 0), 10) AS control_plane_burden, round(rs / nullif(total, 0), 10) AS restate_burden FROM shares""", "shares")
+    o["w10_control_baseline"] = q("""SELECT stream_id, turn_index, CASE WHEN len(xs) >= 8 THEN round(list_median(xs), 10) END AS baseline_chars, coalesce(len(xs), 0) AS baseline_turns FROM basel""".replace("list_median(xs)", "list_aggregate(xs, 'median')"), "basel")
+    o["w11_serialization_inflation"] = q("SELECT stream_id, turn_index, CASE WHEN len(xs) >= 8 THEN round(chars / nullif(list_aggregate(xs, 'median'), 0), 10) END AS inflation FROM basel", "basel")
     o["w12_drift_counts"] = q("""WITH d AS (SELECT t.*, (tier1 IS NOT NULL)::INT AS c, (tier2 IS NOT NULL)::INT AS ms, EXISTS (SELECT 1 FROM cands k WHERE k.stream_id = t.stream_id AND k.seq = t.seq AND NOT k.describes)::INT AS rp,
   CASE WHEN opens_epoch THEN 0 ELSE coalesce((SELECT count(*) FROM seqd s WHERE s.stream_id = t.stream_id AND s.turn_index = t.turn_index - 1 AND s.is_interrupt AND NOT s.is_op AND NOT s.is_agent), 0) END AS it,
   CASE WHEN opens_epoch THEN 0 ELSE (SELECT count(*) FROM overlap v WHERE v.stream_id = t.stream_id AND v.turn_index = t.turn_index - 1) END AS st FROM turns t)
@@ -508,16 +511,16 @@ FROM documents WHERE doc_id % 10 = 0 OR doc_id % 9 = 0"""
 c AS (SELECT t.stream_id, t.seq, t.turn_index, i.identity, i.t0, (SELECT count(*) - 1 FROM occ o WHERE o.stream_id = t.stream_id AND o.epoch_before = t.epoch_before AND o.identity = i.identity AND o.turn_index <= t.turn_index) AS n
   FROM turns t LEFT JOIN ids i ON i.stream_id = t.stream_id AND i.epoch_before = t.epoch_before AND i.t0 <= t.turn_index)
 SELECT stream_id, seq, count(identity) AS unresolved, count(*) FILTER (identity IS NOT NULL AND n > 0) AS repeated, count(*) FILTER (t0 = turn_index) AS fresh,
-  round(avg(n) FILTER (identity IS NOT NULL), 6) AS mean_repeats, round(median(turn_index - t0) FILTER (identity IS NOT NULL), 6) AS median_age FROM c GROUP BY stream_id, seq""", "occ")
+  round(avg(n) FILTER (identity IS NOT NULL), 10) AS mean_repeats, round(median(turn_index - t0) FILTER (identity IS NOT NULL), 10) AS median_age FROM c GROUP BY stream_id, seq""", "occ")
     o["a03_dereference"] = q("""WITH s AS (SELECT t.stream_id, t.turn_index, """ + ", ".join(
         f"(SELECT count(*) FROM outcomes u WHERE u.stream_id = t.stream_id AND u.settled_turn <= t.turn_index AND u.outcome = '{x}') AS pointer_{x}" for x in ("success", "failure", "unknown"))
-        + """ FROM turns t) SELECT *, round(pointer_success / nullif(pointer_success + pointer_failure, 0), 6) AS reliability FROM s""", "outcomes")
+        + """ FROM turns t) SELECT *, round(pointer_success / nullif(pointer_success + pointer_failure, 0), 10) AS reliability FROM s""", "outcomes")
     o["a04_cycle_totals"] = q(f"""SELECT stream_id, turn_index::BIGINT AS turn_index, count(*) AS records, count(*) FILTER (is_agent) AS agent_turns, coalesce(sum(len(writes_any)) FILTER (is_agent), 0)::BIGINT AS writes,
   count(*) FILTER (is_interrupt AND NOT is_agent) AS interrupts, coalesce(sum(n_failed) FILTER (NOT is_agent OR len(writes_any) > 0), 0)::BIGINT AS failed,
   coalesce(sum({' + '.join(m(g, 'text') + '::INT' for g in ('expansion_task', 'expansion_validation', 'expansion_constraint'))} + (n_actions = 0 AND {m('expansion_scope', 'text')})::INT) FILTER (is_agent), 0)::BIGINT AS text_expansions,
   bool_or(is_agent AND {m('repair_verb', 'text')}) AS claim_text FROM seqd WHERE NOT is_op GROUP BY 1, 2""", "seqd")
     o["a06_current_objects"] = "SELECT user_id::VARCHAR AS object_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1"
-    o["a07_regimes_seen"] = q("""SELECT stream_id, array_to_string(['FLOW'] || list(regime ORDER BY at), ',') AS regimes_seen FROM (SELECT stream_id, regime, min(seq) AS at FROM simple WHERE was <> regime AND regime <> 'FLOW' GROUP BY 1, 2) GROUP BY 1""", "simple")
+    o["a07_regimes_seen"] = q("""SELECT stream_id, array_to_string(['FLOW'] || list(regime ORDER BY q1), ',') AS regimes_seen FROM (SELECT stream_id, regime, min(seq) AS q1 FROM simple WHERE was <> regime AND regime <> 'FLOW' GROUP BY 1, 2) GROUP BY 1""", "simple")
     o["a09_semantic_operations"] = q("""WITH l AS (SELECT stream_id, list_sort(list(latency_ms)) AS xs FROM compl WHERE latency_ms >= 0 GROUP BY 1)
 SELECT c.stream_id, count(*) AS recorded, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'timed_out') AS timed_out, count(*) FILTER (status = 'canceled') AS canceled,
   count(*) FILTER (status NOT IN ('completed', 'timed_out', 'canceled')) AS failed, coalesce(array_to_string(list_sort(list(DISTINCT classifier || '/' || classifier_version || '/' || classifier_hash) FILTER (classifier <> '')), ','), '') AS classifiers,
@@ -526,21 +529,21 @@ SELECT c.stream_id, count(*) AS recorded, count(*) FILTER (status = 'completed')
     o["a11_survey_roll_up"] = q("SELECT skipped, count(*) AS sessions, sum(operator_turns)::BIGINT AS operator_turns, sum(actions)::BIGINT AS actions, count(DISTINCT project) AS projects FROM surveyed GROUP BY 1", "surveyed")
     o["a12_confusion"] = q("SELECT 'obligation' AS family, coalesce(label, '(unlabeled)') AS labeled, coalesce(value, '(silent)') AS predicted, count(*) AS units FROM pairs GROUP BY 1, 2, 3", "pairs")
     sc = f"""SELECT *, true_positives + false_positives AS predicted_positive, true_positives + false_negatives AS labeled_positive,
-  round(true_positives / nullif(true_positives + false_positives, 0), 6) AS precision, round(true_positives / nullif(true_positives + false_negatives, 0), 6) AS recall,
-  round(2 * true_positives / nullif(2 * true_positives + false_positives + false_negatives, 0), 6) AS f1 FROM (SELECT 'obligation' AS family, {SCORE.format(v='value')},
+  round(true_positives / nullif(true_positives + false_positives, 0), 10) AS precision, round(true_positives / nullif(true_positives + false_negatives, 0), 10) AS recall,
+  round(2 * true_positives / nullif(2 * true_positives + false_positives + false_negatives, 0), 10) AS f1 FROM (SELECT 'obligation' AS family, {SCORE.format(v='value')},
   count(*) FILTER (label <> 'unlabelable') AS labeled_units, count(*) FILTER (label = 'unlabelable') AS unlabelable_units, count(*) FILTER (label = 'directive' AND value IS NULL) AS missed_by_build FROM pairs)"""
     o["a13_score"] = q(sc, "pairs")
     o["a14_kappa"] = q("""WITH p AS (SELECT a.label AS x, b.label AS y FROM lbl a JOIN lbl b ON a.session = b.session AND a.record = b.record AND a.start_b = b.start_b AND a.end_b = b.end_b AND a.labeler = 'a' AND b.labeler = 'b'),
 n AS (SELECT count(*) AS u, avg((x = y)::INT) AS ob FROM p),
 e AS (SELECT sum(ca * cb) AS s FROM (SELECT x, count(*) AS ca FROM p GROUP BY 1) a JOIN (SELECT y, count(*) AS cb FROM p GROUP BY 1) b ON x = y)
-SELECT 'obligation' AS family, 'a' AS labeler_a, 'b' AS labeler_b, u AS units, round(ob, 6) AS observed, round(s / (u * u), 6) AS expected, round((ob - s / (u * u)) / (1 - s / (u * u)), 6) AS kappa FROM n, e""", "lbl")
-    o["a15_discriminator_scores"] = q(f"""SELECT *, round(true_positives / nullif(true_positives + false_positives, 0), 6) AS precision FROM (
+SELECT 'obligation' AS family, 'a' AS labeler_a, 'b' AS labeler_b, u AS units, round(ob, 10) AS observed, round(s / (u * u), 10) AS expected, round((ob - s / (u * u)) / (1 - s / (u * u)), 10) AS kappa FROM n, e""", "lbl")
+    o["a15_discriminator_scores"] = q(f"""SELECT *, round(true_positives / nullif(true_positives + false_positives, 0), 10) AS precision FROM (
   SELECT 'even' AS discriminator, {SCORE.format(v='value')} FROM pairs UNION ALL SELECT 'long', {SCORE.format(v='value2')} FROM pairs)""", "pairs")
     o["a16_coverage"] = q("SELECT 'obligation' AS family, (SELECT count(*) FROM prd) AS predicted, count(*) AS labeled, count(*) FILTER (label = 'unlabelable') AS unlabelable FROM lbl", "lbl", "prd")
-    o["a17_consequences"] = q(f"SELECT family, round(predicted_positive / nullif(labeled_positive, 0), 6) AS inventory_ratio, missed_by_build AS unmarked_misses FROM ({sc})", "pairs")
+    o["a17_consequences"] = q(f"SELECT family, round(predicted_positive / nullif(labeled_positive, 0), 10) AS inventory_ratio, missed_by_build AS unmarked_misses FROM ({sc})", "pairs")
     o["a18_degenerate_pass"] = q("""SELECT 'obligation' AS family, labeler || (li % 40) AS labeler, count(*) AS units FROM lbl WHERE label <> 'unlabelable' GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT label) = 1""", "lbl")
     o["a20_content_hash"] = """SELECT id, sha256(h) AS sha256 FROM (SELECT conv_id::VARCHAR AS id, sha256(string_agg(sha256(text), '' ORDER BY turn)) AS h FROM conversations GROUP BY 1)"""
-    o["l01_top_inflation"] = q("""SELECT stream_id, seq, round(chars / 100.0, 6) AS inflation, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chars DESC, seq) AS r FROM turns WHERE seq % 3 > 0) WHERE r <= 3""", "turns")
+    o["l01_top_inflation"] = q("""SELECT stream_id, seq, round(chars / 100.0, 10) AS inflation, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chars DESC, seq) AS r FROM turns WHERE seq % 3 > 0) WHERE r <= 3""", "turns")
     o["l02_newest_sessions"] = """SELECT id, root FROM (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS root, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR) AS n FROM events)
 WHERE n <= 3 ORDER BY ts DESC, id LIMIT 15"""
     o["l03_turn_sample"] = q("SELECT stream_id, turn_id FROM (SELECT stream_id, 'seq-' || seq AS turn_id FROM turns) WHERE ('0x' || substr(sha256(stream_id || '/' || turn_id), 1, 8))::BIGINT % 1000 < 250", "turns")

@@ -127,7 +127,7 @@ class Corpus:
                 .otherwise("description").alias("label"),
                 F.lit(labeler).alias("labeler"),
                 F.when(c("doc_id") % 26 == 0, "").otherwise("why").alias("note"),
-                (c("doc_id") * 2 + (labeler == "b")).cast("long").alias("li"))
+                (c("doc_id") * 2 + int(labeler == "b")).cast("long").alias("li"))
         return one("a", c("quality") == 1).unionByName(one("b", c("toxic") == 0))
 
     @cached_property
@@ -169,30 +169,34 @@ def big(col):
     return F.col(col).cast("long").alias(col) if isinstance(col, str) else col.cast("long")
 
 
-def r6(col, name):
-    return F.round(col, 6).alias(name)
+def rounded(col, name):
+    return F.round(col, 10).alias(name)
 
 
 REGISTRY: dict = {}
 
 
-def query(name):
+def query(name: str, shaped: bool = False):
+    """Register a query. `shaped` queries work on the staged transcripts, whose size is known."""
     def add(fn):
-        REGISTRY[name] = lambda spark, sf_dir: (lambda k: k.shaped(lambda: fn(k)) if fn.__name__ != "raw"
-                                                else fn(k))(corpus(spark, sf_dir))
+        def run(spark, sf_dir):
+            k = corpus(spark, sf_dir)
+            return k.shaped(lambda: fn(k)) if shaped else fn(k)
+
+        REGISTRY[name] = run
         return fn
     return add
 
 
 # ---- sources -----------------------------------------------------------------------------------
 @query("t04c_read_conversations")
-def raw(k):
+def _(k):
     d = read_conversations(k.table("conversations"))
     return d.select("stream_id", "turn_id", "seq", "speaker_class", F.md5("text").alias("text_md5"))
 
 
 @query("t05_event_routing")
-def raw(k):
+def _(k):
     d = k.table("events").select(F.when(F.col("event_type") == "click", "repair_opened")
                                  .when(F.col("event_type") == "view", "repair_expansion_candidate")
                                  .when(F.col("event_type") == "error", "obligation_repeated")
@@ -202,14 +206,14 @@ def raw(k):
 
 
 @query("t07_line_provenance")
-def raw(k):
+def _(k):
     d = linking.lines_with_offsets(k.table("documents").select(
         F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value")))
     return d.select("path", big("offset"), "record_sha256")
 
 
-@query("t09_timeline")
-def fn(k):
+@query("t09_timeline", shaped=True)
+def _(k):
     s = k.shares.select(
         "stream_id", "seq", F.col("epoch_before").alias("epoch"), F.lit("FLOW").alias("regime"),
         F.lit("flow").alias("regime_rule"), F.col("chars").alias("user_chars"),
@@ -223,7 +227,7 @@ def fn(k):
 
 
 @query("t10_label_check")
-def raw(k):
+def _(k):
     d = L.checked(k.label_table.withColumn("family", F.when(F.col("li") % 17 == 0, "other").otherwise(
         F.col("family"))))
     return d.groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
@@ -231,13 +235,13 @@ def raw(k):
 
 # ---- row-local ---------------------------------------------------------------------------------
 @query("f01_operator_turns")
-def raw(k):
+def _(k):
     return k.records.select("stream_id", "seq", FE.is_operator_turn(
         F.col("speaker_class"), F.col("sidechain"), F.col("input_mode")).alias("is_op"))
 
 
 @query("f02_size_counts")
-def raw(k):
+def _(k):
     t = F.col("text")
     return k.table("documents").select(
         "doc_id", big(T.n_bytes(t)).alias("bytes"), big(T.n_chars(t)).alias("chars"),
@@ -245,12 +249,12 @@ def raw(k):
 
 
 @query("f03_normalize")
-def raw(k):
+def _(k):
     return k.table("documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("norm_md5"))
 
 
 @query("f04_tokens")
-def raw(k):
+def _(k):
     t = T.tokens(F.col("text"))
     return k.table("documents").select(
         "doc_id", big(F.size(t)).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
@@ -263,40 +267,40 @@ def _neighbours(k):
 
 
 @query("f05_jaccard")
-def raw(k):
-    return _neighbours(k).select("conv_id", "turn", r6(T.jaccard(F.col("have"), F.col("want")), "jaccard"))
+def _(k):
+    return _neighbours(k).select("conv_id", "turn", rounded(T.jaccard(F.col("have"), F.col("want")), "jaccard"))
 
 
 @query("f06_token_coverage")
-def raw(k):
+def _(k):
     return _neighbours(k).select(
-        "conv_id", "turn", r6(T.token_coverage(F.col("have"), F.col("want")), "cover"),
+        "conv_id", "turn", rounded(T.token_coverage(F.col("have"), F.col("want")), "cover"),
         big(T.shared_tokens(F.col("have"), F.col("want"))).alias("shared"))
 
 
 @query("f07_quoted_chars")
-def raw(k):
+def _(k):
     return k.records.select("stream_id", "seq", big(T.quoted_chars(F.col("text"))).alias("quoted_chars"))
 
 
 @query("f08_sentences")
-def raw(k):
+def _(k):
     d = k.table("documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
     return d.select("doc_id", big("s.pos").alias("pos"), big("s.start").alias("start"),
                     big("s.end").alias("end"), big("s.chars").alias("chars"))
 
 
 @query("f09_contained")
-def raw(k):
+def _(k):
     d = k.records.select("stream_id", "seq", F.explode(T.sentences(F.col("text"))).alias("s"))
     return d.where("s.text <> ''").groupBy("stream_id", "seq").agg(
         F.count_if("s.contained").alias("contained"), F.count("*").alias("sentences"))
 
 
 @query("f10_code_density")
-def raw(k):
+def _(k):
     t = F.col("text")
-    return k.records.select("stream_id", "seq", r6(T.code_density(
+    return k.records.select("stream_id", "seq", rounded(T.code_density(
         t, LEX.java["code_span"], LEX.java["path_token"]), "code_density"))
 
 
@@ -310,12 +314,12 @@ def _paths(k):
 
 
 @query("f11_normalize_target")
-def raw(k):
+def _(k):
     return _paths(k).select("page_id", T.normalize_target(F.col("root"), F.col("path")).alias("target"))
 
 
 @query("f12_write_targets")
-def raw(k):
+def _(k):
     from helmline.sources.records import failed_actions, path_targets
 
     a = F.col("actions")
@@ -325,7 +329,7 @@ def raw(k):
 
 
 @query("f13_marker_groups")
-def raw(k):
+def _(k):
     d = k.records.select(F.explode(T.sentences(F.col("text"))).alias("s")).where("s.text <> ''")
     s = F.col("s.text")
     hits = d.agg(*[F.count_if(LEX.match(g, s)).alias(g) for g in BASELINE_MARKERS])
@@ -336,13 +340,13 @@ def _op_sentences(k):
     return k.turns.select("stream_id", "seq", F.explode("segs").alias("s"))
 
 
-@query("f16_segment_labels")
-def fn(k):
+@query("f16_segment_labels", shaped=True)
+def _(k):
     return _op_sentences(k).select("stream_id", "seq", big("s.pos").alias("pos"), F.col("s.label").alias("label"))
 
 
-@query("f17_label_buckets")
-def fn(k):
+@query("f17_label_buckets", shaped=True)
+def _(k):
     return _op_sentences(k).groupBy(F.col("s.label").alias("label"), FE.bucket_of(F.col("s.label")).alias("bucket")
                                     ).agg(F.count("*").alias("n"), F.sum("s.chars").alias("chars"))
 
@@ -351,82 +355,82 @@ def _cands(k):
     return k.turns.select("stream_id", "seq", F.explode("cands").alias("c"))
 
 
-@query("f18_obligation_candidates")
-def fn(k):
+@query("f18_obligation_candidates", shaped=True)
+def _(k):
     return _cands(k).select("stream_id", "seq", big("c.pos").alias("pos"), "c.kind", F.md5("c.key").alias("key_md5"))
 
 
-@query("f19_directive_tests")
-def fn(k):
+@query("f19_directive_tests", shaped=True)
+def _(k):
     return _cands(k).select("stream_id", "seq", big("c.pos").alias("pos"), "c.subject", "c.second_person",
                             "c.contained", "c.describes")
 
 
-@query("f20_content_key")
-def fn(k):
+@query("f20_content_key", shaped=True)
+def _(k):
     return _cands(k).select("stream_id", "seq", big("c.pos").alias("pos"),
                             F.replace("c.content_key", F.lit("\x00"), F.lit("!")).alias("content_key"))
 
 
-@query("f21_pointer")
-def fn(k):
+@query("f21_pointer", shaped=True)
+def _(k):
     return k.turns.where("pointer is not null").select(
         "stream_id", "seq", F.col("pointer.type").alias("ptype"), F.col("pointer.text").alias("ptext"),
         big("pointer.chars").alias("pchars"))
 
 
-@query("f22_named_paths")
-def fn(k):
+@query("f22_named_paths", shaped=True)
+def _(k):
     return k.turns.select("stream_id", "seq", F.array_join("named_paths", ",").alias("paths"))
 
 
-@query("f23_acceptance")
-def fn(k):
+@query("f23_acceptance", shaped=True)
+def _(k):
     return k.turns.select("stream_id", "seq", "acceptance", "continuation")
 
 
 @query("f24_bulk_guard")
-def raw(k):
+def _(k):
     t = F.col("text")
     return k.table("documents").select(
         "doc_id", FE.is_bulk(t).alias("bulk"), (~FE.is_bulk(t) & LEX.match("stop", t)).alias("stop"),
         F.when(~FE.is_bulk(t), F.lower(LEX.find("correction_tier1", t))).alias("tier1"))
 
 
-@query("f25_agent_signals")
-def fn(k):
+@query("f25_agent_signals", shaped=True)
+def _(k):
     return k.feats.where("is_agent").select(
         "stream_id", "seq", *[big(n) for n in ("exp_task", "exp_validation", "exp_constraint", "exp_scope")],
         "claim")
 
 
 @query("f26_snippet")
-def raw(k):
+def _(k):
     return k.table("documents").select("doc_id", FE.snippet(F.col("text"), Privacy()).alias("snippet"))
 
 
-@query("f27_correction_key")
-def fn(k):
+@query("f27_correction_key", shaped=True)
+def _(k):
     return k.turns.select("stream_id", "seq", "target_type", F.md5("target_key").alias("key_md5"))
 
 
 @query("f28_ratio_median")
-def raw(k):
+def _(k):
     d = k.table("lineitem").groupBy("l_suppkey").agg(
         F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("q"),
         F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_tax") > 0.07).alias("t"))
-    return d.select("l_suppkey", r6(W.median_of(F.col("q")), "med"), r6(W.ratio(F.col("a"), F.col("t")), "ratio"))
+    return d.select("l_suppkey", rounded(W.median_of(F.col("q")), "med"), rounded(W.ratio(F.col("a"), F.col("t")), "ratio"))
 
 
 @query("f29_event_id")
-def raw(k):
+def _(k):
     e = k.table("events")
     return e.select("event_id", EV.event_id(
         F.col("user_id").cast("string"), F.col("event_id"), F.col("event_type"), F.col("event_id") % 3).alias("id"))
 
 
 @query("f30_bands")
-def raw(k):
+def _(k):
     c = F.col
     d = k.table("lineitem").select(
         F.when(c("l_linenumber") > 1, c("l_quantity") / 6).alias("serialization_inflation"),
@@ -439,7 +443,7 @@ def raw(k):
 
 
 @query("f31_pollution")
-def raw(k):
+def _(k):
     c = F.col
     p = M.pollution(
         F.when(c("l_linenumber") <= 4, c("l_returnflag") == "A"), F.floor(c("l_tax") * 100 / 3),
@@ -465,83 +469,83 @@ def _regime_inputs(k):
 
 
 @query("f32_regime")
-def raw(k):
+def _(k):
     return M.regime(_regime_inputs(k)).groupBy("regime", "regime_rule").agg(F.count("*").alias("n"))
 
 
 @query("f33_duration_magnification")
-def raw(k):
+def _(k):
     c = F.col
     e = k.table("events").select("event_id", "user_id", "ts", "value")
     nxt = e.select((c("event_id") - 7).alias("event_id"), c("ts").alias("other_ts"), c("value").alias("other"))
     d = e.join(nxt, "event_id")
     flip = F.when(c("event_id") % 2 == 0, W.elapsed(c("ts"), c("other_ts"))).otherwise(
         W.elapsed(c("other_ts"), c("ts")))
-    return d.select("event_id", r6(flip, "seconds"),
-                    r6(M.magnification(c("value"), F.floor(c("other") - 5)), "magnification"))
+    return d.select("event_id", rounded(flip, "seconds"),
+                    rounded(M.magnification(c("value"), F.floor(c("other") - 5)), "magnification"))
 
 
 # ---- windows -----------------------------------------------------------------------------------
-@query("w01_turn_index")
-def fn(k):
+@query("w01_turn_index", shaped=True)
+def _(k):
     return k.seqd.select("stream_id", "seq", "turn_index")
 
 
-@query("w02_epoch")
-def fn(k):
+@query("w02_epoch", shaped=True)
+def _(k):
     return k.seqd.select("stream_id", "seq", "epoch_before", "epoch")
 
 
-@query("w03_rolling_epoch")
-def fn(k):
+@query("w03_rolling_epoch", shaped=True)
+def _(k):
     return k.turns.select("stream_id", "turn_index", "opens_epoch", "first_before")
 
 
-@query("w04_gaps")
-def fn(k):
-    return k.seqd.select("stream_id", "seq", r6(F.col("gap_seconds_previous"), "gap_previous"),
-                         r6(F.col("gap_seconds_previous_human"), "gap_human"))
+@query("w04_gaps", shaped=True)
+def _(k):
+    return k.seqd.select("stream_id", "seq", rounded(F.col("gap_seconds_previous"), "gap_previous"),
+                         rounded(F.col("gap_seconds_previous_human"), "gap_human"))
 
 
 @query("w04_event_gaps")
-def raw(k):
+def _(k):
     e = k.table("events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stream_id"),
         F.col("event_id").alias("seq"), "ts", (F.col("event_type") == "click").alias("is_op"),
         F.lit(False).alias("is_agent"), F.lit(False).alias("reset"))
-    return W.sequence(e).select("stream_id", "seq", r6(F.col("gap_seconds_previous"), "gap_previous"),
-                                r6(F.col("gap_seconds_previous_human"), "gap_human"))
+    return W.sequence(e).select("stream_id", "seq", rounded(F.col("gap_seconds_previous"), "gap_previous"),
+                                rounded(F.col("gap_seconds_previous_human"), "gap_human"))
 
 
-@query("w05_repeat_chars")
-def fn(k):
+@query("w05_repeat_chars", shaped=True)
+def _(k):
     return W.repeated_lines(k.turns).select("stream_id", "turn_index", big("repeat_chars"))
 
 
-@query("w06_restated_sentences")
-def fn(k):
+@query("w06_restated_sentences", shaped=True)
+def _(k):
     d = W.restated_sentences(k.turns)
     return d.select("stream_id", "turn_index", F.array_join(F.array_sort("restated"), ",").alias("restated"))
 
 
-@query("w07_overlap_previous")
-def fn(k):
+@query("w07_overlap_previous", shaped=True)
+def _(k):
     return W.lexical_overlap(k.turns).select("stream_id", "turn_index",
-                                             r6(F.col("lexical_overlap_previous"), "overlap"))
+                                             rounded(F.col("lexical_overlap_previous"), "overlap"))
 
 
-@query("w08_overlap_window")
-def fn(k):
+@query("w08_overlap_window", shaped=True)
+def _(k):
     return W.lexical_overlap(k.turns).select("stream_id", "turn_index",
-                                             r6(F.col("lexical_overlap_window"), "overlap"))
+                                             rounded(F.col("lexical_overlap_window"), "overlap"))
 
 
-@query("w09_window_shares")
-def fn(k):
+@query("w09_window_shares", shaped=True)
+def _(k):
     return k.shares.select(
         "stream_id", "seq", "turn_index",
         *[big(f"{n}_chars") for n in ("forward", "control", "recovery", "restate", "other")],
-        *[r6(F.col(n), n) for n in ("forward_work_share", "control_plane_burden", "restate_burden")])
+        *[rounded(F.col(n), n) for n in ("forward_work_share", "control_plane_burden", "restate_burden")])
 
 
 def _baseline(k):
@@ -558,19 +562,19 @@ def _baseline(k):
     return M.control_baseline(t.drop("tier1", "pointer"), own.unionByName(back))
 
 
-@query("w10_control_baseline")
-def fn(k):
-    return _baseline(k).select("stream_id", "turn_index", r6(F.col("baseline_chars"), "baseline_chars"),
+@query("w10_control_baseline", shaped=True)
+def _(k):
+    return _baseline(k).select("stream_id", "turn_index", rounded(F.col("baseline_chars"), "baseline_chars"),
                                big("baseline_turns"))
 
 
-@query("w11_serialization_inflation")
-def fn(k):
-    return _baseline(k).select("stream_id", "turn_index", r6(F.col("serialization_inflation"), "inflation"))
+@query("w11_serialization_inflation", shaped=True)
+def _(k):
+    return _baseline(k).select("stream_id", "turn_index", rounded(F.col("serialization_inflation"), "inflation"))
 
 
-@query("w12_drift_counts")
-def fn(k):
+@query("w12_drift_counts", shaped=True)
+def _(k):
     cyc = E.cycles(k.seqd).select(
         "stream_id", (F.col("turn_index") + 1).alias("turn_index"), F.col("interrupts").alias("cycle_interrupts_before"))
     over = E.write_overlap(k.seqd).select(
@@ -584,8 +588,8 @@ def fn(k):
                                              "recent_dereference_misses", "recent_obligation_repeats")])
 
 
-@query("w13_trends")
-def fn(k):
+@query("w13_trends", shaped=True)
+def _(k):
     d = k.shares.select(
         "stream_id", "turn_index", "seq", "forward_work_share", "control_plane_burden",
         F.when(F.col("turn_index") % 5 > 0, F.col("chars") / 80.0).alias("serialization_inflation"),
@@ -601,23 +605,23 @@ def _simple_regimes(k):
     return k.turns.select("stream_id", "turn_index", "seq", "ts", name.alias("regime"), F.lit("r").alias("regime_rule"))
 
 
-@query("w14_regime_changes")
-def fn(k):
+@query("w14_regime_changes", shaped=True)
+def _(k):
     return M.regime_changes(_simple_regimes(k)).select("stream_id", "seq", "from_regime", "to_regime")
 
 
-@query("w15_last_agent")
-def fn(k):
+@query("w15_last_agent", shaped=True)
+def _(k):
     return k.seqd.select("stream_id", "seq", F.col("last_agent.seq").alias("last_agent_seq"))
 
 
-@query("w16_write_overlap")
-def fn(k):
+@query("w16_write_overlap", shaped=True)
+def _(k):
     return E.write_overlap(k.seqd).select(*KEY, "overlap_seq", F.array_join("overlap", ",").alias("overlap"))
 
 
-@query("w17_latest_name")
-def fn(k):
+@query("w17_latest_name", shaped=True)
+def _(k):
     d = k.feats.withColumn("stream_name", F.when(F.col("seq") % 6 == 2, F.concat(F.lit("name-"), F.col("seq").cast("string"))))
     return SU.last_names(d)
 
@@ -635,13 +639,13 @@ def _calls(k):
 
 
 @query("j01_failed_calls")
-def raw(k):
+def _(k):
     return linking.mark_failed(*_calls(k)).groupBy("path").agg(
         F.count_if("failed").alias("failed"), F.count("*").alias("calls"))
 
 
 @query("j02_structured_answers")
-def raw(k):
+def _(k):
     calls, results = _calls(k)
     asks = calls.where("cast(call_id as int) % 3 = 0").select("path", "call_id", F.lit("ask").alias("tool"))
     ans = results.select("path", "pos", "call_id", F.create_map(
@@ -650,21 +654,21 @@ def raw(k):
     return linking.answers(ans, asks, "ask").select("path", "pos", "text")
 
 
-@query("j03_obligation_repeats")
-def fn(k):
+@query("j03_obligation_repeats", shaped=True)
+def _(k):
     return k.stated.select("stream_id", "seq", big("pos"), "event", big("repeat_count"), "stood_before")
 
 
-@query("j04_near_repeats")
-def fn(k):
+@query("j04_near_repeats", shaped=True)
+def _(k):
     return O.near_repeats(k.occ, k.intro, k.plain_ledger).select(
-        "stream_id", "seq", F.md5("key").alias("key_md5"), F.md5("prior_key").alias("prior_md5"), r6(F.col("jaccard"), "jaccard"))
+        "stream_id", "seq", F.md5("key").alias("key_md5"), F.md5("prior_key").alias("prior_md5"), rounded(F.col("jaccard"), "jaccard"))
 
 
-@query("j05_release_pairs")
-def fn(k):
+@query("j05_release_pairs", shaped=True)
+def _(k):
     return O.release_pairs(k.turns, k.intro).select(
-        "stream_id", "seq", big("pos"), F.md5("key").alias("key_md5"), big("shared"), r6(F.col("cover"), "cover"))
+        "stream_id", "seq", big("pos"), F.md5("key").alias("key_md5"), big("shared"), rounded(F.col("cover"), "cover"))
 
 
 def _completions(k):
@@ -681,7 +685,7 @@ def _completions(k):
 
 
 @query("j06_selected_completions")
-def raw(k):
+def _(k):
     asked = _completions(k).select("stream_id", F.col("source_seq").alias("seq"), "input_hash").distinct()
     good, bad = S.select_completions(asked, _completions(k), ("model", "1", "h1"))
     return good.select("stream_id", "seq", "job_id", F.lit("selected").alias("what")).unionByName(
@@ -689,12 +693,12 @@ def raw(k):
 
 
 @query("j07_alignment")
-def raw(k):
+def _(k):
     return k.scored_pairs.select("session", "record", "label", "value", "overlap")
 
 
 @query("j08_dedupe")
-def raw(k):
+def _(k):
     d = k.table("documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
     return C.drop_sealed(d.where("source <> 'src0'"), d.where("source = 'src0'")).select("doc_id", "sha256")
 
@@ -705,25 +709,25 @@ def _sessions(k):
 
 
 @query("j09_prior_split")
-def raw(k):
+def _(k):
     d = _sessions(k)
     prior = d.where("doc_id % 4 = 0").select("id", "project", F.when(F.col("doc_id") % 8 == 0, "dev").otherwise(
         "holdout").alias("split"))
     return C.assign_split(d.where("doc_id % 6 <> 0").select("id", "project"), prior)
 
 
-@query("j10_pointer_outcomes")
-def fn(k):
+@query("j10_pointer_outcomes", shaped=True)
+def _(k):
     return P.outcomes(k.marked).select("stream_id", "seq", "pointer_type", "outcome", "evidence", "settled_turn")
 
 
-@query("j11_verified_repairs")
-def fn(k):
+@query("j11_verified_repairs", shaped=True)
+def _(k):
     return E.verified_repairs(k.fixed, k.seqd).select(*KEY, "seq", "target_repaired", big("new_scope"))
 
 
 @query("j12_broken_seals")
-def raw(k):
+def _(k):
     d = k.table("documents")
     files = d.where("doc_id % 9 <> 0").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
                                               F.sha2("text", 256).alias("sha256"))
@@ -733,14 +737,14 @@ def raw(k):
 
 
 # ---- aggregations ------------------------------------------------------------------------------
-@query("a01_bucket_chars")
-def fn(k):
+@query("a01_bucket_chars", shaped=True)
+def _(k):
     return k.turns.select("stream_id", "seq", *[big(f"b.{n}").alias(n) for n in (
         "forward", "control", "recovery", "restate", "other", "handoff")])
 
 
-@query("a02_obligation_surface")
-def fn(k):
+@query("a02_obligation_surface", shaped=True)
+def _(k):
     from helmline.functions.ordered import TURN_BLOCK, Run, block_of, running
 
     none = k.occ.select(*O.EPOCH, "identity", "turn_index").limit(0)
@@ -753,38 +757,38 @@ def fn(k):
         "standing": Run("last", F.col("m"))})
     return d.select(
         "stream_id", "seq", big("unresolved"), big("repeated"), big(F.coalesce("new_obligations", F.lit(0))).alias("fresh"),
-        r6(W.ratio(F.col("repeats"), F.col("unresolved")), "mean_repeats"),
-        r6(F.when(F.col("unresolved") > 0, F.col("turn_index") - F.col("standing.median_index")), "median_age"))
+        rounded(W.ratio(F.col("repeats"), F.col("unresolved")), "mean_repeats"),
+        rounded(F.when(F.col("unresolved") > 0, F.col("turn_index") - F.col("standing.median_index")), "median_age"))
 
 
-@query("a03_dereference")
-def fn(k):
+@query("a03_dereference", shaped=True)
+def _(k):
     return P.reliability(k.marked, P.outcomes(k.marked)).select(
-        *KEY, *[big(f"pointer_{o}") for o in ("success", "failure", "unknown")], r6(F.col("dereference"), "reliability"))
+        *KEY, *[big(f"pointer_{o}") for o in ("success", "failure", "unknown")], rounded(F.col("dereference"), "reliability"))
 
 
-@query("a04_cycle_totals")
-def fn(k):
+@query("a04_cycle_totals", shaped=True)
+def _(k):
     return E.cycles(k.seqd).select(*KEY, *[big(n) for n in ("records", "agent_turns", "writes", "interrupts", "failed",
                                                             "text_expansions")], "claim_text")
 
 
 @query("a06_current_objects")
-def raw(k):
+def _(k):
     e = k.table("events").select(
         F.lit("all").alias("stream_id"), F.col("user_id").cast("string").alias("object_id"),
         F.col("event_id").alias("seq"), F.lit(0).alias("emit_rank"), F.lit(0).alias("sub"), "event_type", "value")
     return EV.current_objects(e, "object_id").select("object_id", "seq", "event_type", "value")
 
 
-@query("a07_regimes_seen")
-def fn(k):
+@query("a07_regimes_seen", shaped=True)
+def _(k):
     d = SU.regimes_seen(M.regime_changes(_simple_regimes(k)))
     return d.select("stream_id", F.array_join("regimes_seen", ",").alias("regimes_seen"))
 
 
 @query("a09_semantic_operations")
-def raw(k):
+def _(k):
     d = SU.semantic_operations(_completions(k))
     return d.select("stream_id", "recorded", "completed", "timed_out", "canceled", "failed",
                     F.array_join("classifiers", ",").alias("classifiers"), "p50_latency_ms", "p95_latency_ms")
@@ -800,19 +804,19 @@ def _survey(k):
                       max_bytes=11500, quiet_for=2, min_turns=40).alias("skipped"))
 
 
-@query("a10_corpus_survey")
-def fn(k):
+@query("a10_corpus_survey", shaped=True)
+def _(k):
     return _survey(k).drop("project")
 
 
-@query("a11_survey_roll_up")
-def fn(k):
+@query("a11_survey_roll_up", shaped=True)
+def _(k):
     d = C.roll_up(_survey(k), "skipped")
     return d.select("skipped", big("sessions"), big("operator_turns"), big("actions"), big("projects"))
 
 
 @query("a12_confusion")
-def raw(k):
+def _(k):
     return L.confusion(k.scored_pairs)
 
 
@@ -821,75 +825,75 @@ def _score(k):
 
 
 @query("a13_score")
-def raw(k):
+def _(k):
     s = _score(k)
     return s.select("family", *[big(n) for n in s.columns if n not in ("family", "precision", "recall", "f1")],
-                    *[r6(F.col(n), n) for n in ("precision", "recall", "f1")])
+                    *[rounded(F.col(n), n) for n in ("precision", "recall", "f1")])
 
 
 @query("a14_kappa")
-def raw(k):
+def _(k):
     d = L.kappa(k.label_table)
     return d.select("family", "labeler_a", "labeler_b", "units",
-                    *[r6(F.col(n), n) for n in ("observed", "expected", "kappa")])
+                    *[rounded(F.col(n), n) for n in ("observed", "expected", "kappa")])
 
 
 @query("a15_discriminator_scores")
-def raw(k):
+def _(k):
     d = L.score(L.discriminator_pairs(k.label_table.where("labeler = 'a'"), k.prediction_table), "discriminator")
     return d.select("discriminator", "true_positives", "false_positives", "false_negatives", "true_negatives",
-                    r6(F.col("precision"), "precision"))
+                    rounded(F.col("precision"), "precision"))
 
 
 @query("a16_coverage")
-def raw(k):
+def _(k):
     return L.coverage(k.label_table, k.prediction_table)
 
 
 @query("a17_consequences")
-def raw(k):
+def _(k):
     d = L.consequences(_score(k))
-    return d.select("family", r6(F.col("inventory_ratio"), "inventory_ratio"), "unmarked_misses")
+    return d.select("family", rounded(F.col("inventory_ratio"), "inventory_ratio"), "unmarked_misses")
 
 
 @query("a18_degenerate_pass")
-def raw(k):
+def _(k):
     d = k.label_table.withColumn("labeler", F.concat("labeler", (F.col("li") % 40).cast("string"))).where("label <> 'unlabelable'")
     return L.degenerate_passes(d).select("family", "labeler", "units")
 
 
 @query("a20_content_hash")
-def raw(k):
+def _(k):
     d = k.table("conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", "text")
     return C.content_hash(d, "id", "turn", "text")
 
 
 # ---- top-k, sampling, sets ---------------------------------------------------------------------
-@query("l01_top_inflation")
-def fn(k):
+@query("l01_top_inflation", shaped=True)
+def _(k):
     d = k.turns.select("stream_id", "seq", F.when(F.col("seq") % 3 > 0, F.col("chars") / 100.0).alias("serialization_inflation"))
-    return SU.top_inflation(d).select("stream_id", "seq", r6(F.col("serialization_inflation"), "inflation"), big("rank"))
+    return SU.top_inflation(d).select("stream_id", "seq", rounded(F.col("serialization_inflation"), "inflation"), big("rank"))
 
 
 @query("l02_newest_sessions")
-def raw(k):
+def _(k):
     d = k.table("events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("root"),
                                  F.col("ts").alias("modified"))
     return C.newest(d).select("id", "root")
 
 
-@query("l03_turn_sample")
-def fn(k):
+@query("l03_turn_sample", shaped=True)
+def _(k):
     return k.feats.where("is_op").where(C.sampled(F.concat_ws("/", "stream_id", "turn_id"), 250)).select("stream_id", "turn_id")
 
 
 @query("l04_split")
-def raw(k):
+def _(k):
     return C.assign_split(_sessions(k).select("id", "project"), per_project=120)
 
 
-@query("u04_path_union")
-def fn(k):
+@query("u04_path_union", shaped=True)
+def _(k):
     d = k.feats.where("size(write_paths) > 0").select("stream_id", "seq", "write_paths")
     nxt = d.select("stream_id", (F.col("seq") - 2).alias("seq"), F.col("write_paths").alias("more"))
     return d.join(nxt, ["stream_id", "seq"]).select(
@@ -897,21 +901,21 @@ def fn(k):
 
 
 # ---- folds and units ---------------------------------------------------------------------------
-@query("k03_corrections")
-def fn(k):
+@query("k03_corrections", shaped=True)
+def _(k):
     return k.fixed.where("is_correction").select("stream_id", "seq", "correction_marker", "target_type",
                                                  F.array_join("target_paths", ",").alias("paths"))
 
 
 @query("k04_sentence_units")
-def raw(k):
+def _(k):
     d = U.sentence_units(k.records.withColumn("is_op", FE.is_operator_turn(
         F.col("speaker_class"), F.col("sidechain"), F.col("input_mode"))), 500)
     return d.select("session", "record", big("start"), big("end"), F.md5("text").alias("text_md5"), big("turn_lines"))
 
 
-@query("k04_turn_context")
-def fn(k):
+@query("k04_turn_context", shaped=True)
+def _(k):
     d = U.cycle_context(k.records, k.seqd)
     return d.select("session", "turn_index", F.array_join("cycle_writes", ",").alias("cycle_writes"),
                     F.array_join("earlier_writes", ",").alias("earlier_writes"),
@@ -919,8 +923,8 @@ def fn(k):
                     big("cycle_failed_calls"), big("response_failed_calls"), "cycle_interrupted", "response_interrupted")
 
 
-@query("k05_attribution")
-def fn(k):
+@query("k05_attribution", shaped=True)
+def _(k):
     return framed(k.turns.select("stream_id", "turn_index", "turn_id"), ["stream_id"], "turn_index", 1,
                   lambda w: {"settles": F.lag("turn_id").over(w)})
 
@@ -953,20 +957,20 @@ def _results(k):
 
 
 @query("v01_result_problems")
-def raw(k):
+def _(k):
     d = S.validate(_results(k))
     return d.select("conv_id", "turn", F.coalesce("problem", F.lit("ok")).alias("problem"))
 
 
 @query("v02_tiles")
-def raw(k):
+def _(k):
     d = S.validate(_results(k)).where("problem is null")
     t = d.select("conv_id", "turn", F.posexplode(S.tile(F.col("text"), F.col("result.segments"))).alias("i", "t"))
     return t.select("conv_id", "turn", big("t.start").alias("start"), big("t.end").alias("end"), "t.label")
 
 
 @query("v03_allowed_resolutions")
-def raw(k):
+def _(k):
     c = F.col
     res = k.table("events").select("event_id", F.concat(F.lit("c"), (c("user_id") % 3).cast("string")).alias("classifier"),
                                    F.element_at(F.array(F.lit("released"), F.lit("superseded"), F.lit("satisfied"), F.lit("odd")),
@@ -978,70 +982,70 @@ def raw(k):
     return S.allowed_resolutions(res, caps).select("event_id", "classifier", "kind")
 
 
-@query("v04_eligible")
-def fn(k):
+@query("v04_eligible", shaped=True)
+def _(k):
     d = k.feats.withColumn("repair_open", F.col("seq") % 3 == 0)
     return S.eligible(d).select("stream_id", "seq", big("bytes"))
 
 
-@query("v04_prior_turns")
-def fn(k):
+@query("v04_prior_turns", shaped=True)
+def _(k):
     texts = k.turns.select("stream_id", "turn_index", "seq").join(k.records.select("stream_id", "seq", "text"), ["stream_id", "seq"])
     d = S.prior_turns(texts)
     return d.select("stream_id", "turn_index", big(F.size("prior")).alias("n"), F.md5(F.array_join("prior", "|")).alias("prior_md5"))
 
 
 # ---- whole analysis (checked against brute force in the tests) ------------------------------------
-@query("snapshots")
-def fn(k):
+@query("snapshots", shaped=True)
+def _(k):
     return k.a.snapshots
 
 
-@query("k01_repair_transitions")
-def fn(k):
+@query("k01_repair_transitions", shaped=True)
+def _(k):
     return k.a.episodes.where("out = 'event'").select(
         "stream_id", "seq", "phase", "ord", "kind", "repair_id", "status", "depth", "chars", "records", "reason")
 
 
-@query("k01_pollution_assessments")
-def fn(k):
+@query("k01_pollution_assessments", shaped=True)
+def _(k):
     return k.a.episodes.where("pollution_status is not null").select(
         "stream_id", "seq", "repair_id", "pollution_status", "cycle_records", "cycle_writes", "cycle_expansions")
 
 
-@query("k02_releases")
-def fn(k):
+@query("k02_releases", shaped=True)
+def _(k):
     return k.a.claims.select("stream_id", "seq", "pos", "key", "marker", "cover")
 
 
-@query("k02_ledger_events")
-def fn(k):
+@query("k02_ledger_events", shaped=True)
+def _(k):
     return k.a.occurrences.select("stream_id", "seq", "pos", "event", "repeat_count", "kind")
 
 
-@query("k06_settlement")
-def fn(k):
+@query("k06_settlement", shaped=True)
+def _(k):
     return SU.state_at_stop(k.a)
 
 
-@query("a05_session_summary")
-def fn(k):
+@query("a05_session_summary", shaped=True)
+def _(k):
     d = SU.session_summary(k.a)
     return d.select(*[c for c in d.columns if c not in ("final", "pollution_by_repair", "regimes_seen")],
                     F.array_join("regimes_seen", ",").alias("regimes_seen"),
                     F.to_json("pollution_by_repair").alias("pollution_by_repair"))
 
 
-@query("a08_corpus_rows")
-def fn(k):
+@query("a08_corpus_rows", shaped=True)
+def _(k):
     d = SU.corpus_rows(k.a)
     keep = ("first_drift", "first_recovery", "first_thrash")
     return d.select(*[F.to_json(c).alias(c) if c in keep else F.array_join(c, ",").alias(c) if c == "regimes_seen" else c
                       for c in d.columns])
 
 
-@query("a19_repair_maxima")
-def fn(k):
+@query("a19_repair_maxima", shaped=True)
+def _(k):
     ev = k.a.episodes.where("out = 'event'")
     return ev.groupBy("stream_id").agg(
         F.max("depth").alias("max_depth"), F.max("chars").alias("max_chars"),
@@ -1049,17 +1053,17 @@ def fn(k):
         F.count_if(F.col("kind") == "repair_durably_closed").alias("durable"))
 
 
-@query("u01_anchors")
-def fn(k):
+@query("u01_anchors", shaped=True)
+def _(k):
     return SU.anchors(k.a).select("stream_id", "seq", "kind", "detail")
 
 
-@query("u02_event_log")
-def fn(k):
+@query("u02_event_log", shaped=True)
+def _(k):
     d = EV.with_ids(EV.event_log(k.a))
     return d.select("id", "stream_id", "seq", "epoch", "emit_rank", "sub", "kind", "class")
 
 
-@query("u03_predictions")
-def fn(k):
+@query("u03_predictions", shaped=True)
+def _(k):
     return L.predictions(k.a, LEX).select("session", "record", "family", "start", "end", "value")
