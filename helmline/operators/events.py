@@ -46,7 +46,7 @@ def event_log(a) -> DataFrame:
     """All events of an analysis. `emit_rank` and `sub` give the order inside a record."""
     c, js = F.col, lambda *cols: F.to_json(F.struct(*cols))
     rec, turns, snaps = a.records, a.turns, a.snapshots
-    op = turns.withColumn("e", c("epoch_before"))
+    op, said = [d.withColumn("e", c("epoch_before")) for d in (turns, a.sentences)]
 
     def made(df, rank, kind, cls, payload, sub=F.lit(0), epoch="e"):
         kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -67,7 +67,7 @@ def event_log(a) -> DataFrame:
     phase = c("phase")
     parts = [
         made(rec, 10, "record_observed", "observed", js(*observed), epoch="epoch_before"),
-        made(op.where("size(segs) > 0"), 20, "segments_classified", "classified", js("segs", "b")),
+        made(said.where("size(segs) > 0"), 20, "segments_classified", "classified", js("segs", "b")),
         made(op.where("is_correction"), 21, "correction_candidate", "classified",
              js("correction_marker", "target_type", "target_key", "target_paths",
                 c("last_agent.seq").alias("trigger_agent_turn"))),
@@ -75,7 +75,7 @@ def event_log(a) -> DataFrame:
         made(op.where("reset"), 23, "reset_candidate", "classified",
              js(F.lit("reset").alias("marker"))),
         made(op.where("pointer is not null"), 24, "pointer_candidate", "classified", js("pointer")),
-        made(op.select("*", F.explode("kept").alias("k")), 25, "obligation_candidate", "classified",
+        made(said.select("stream_id", "seq", "e", F.explode("kept").alias("k")), 25, "obligation_candidate", "classified",
              js("k"), sub=c("k.pos")),
         made(a.near_repeats, 26, "near_repeat_candidate", "classified",
              js("key", "prior_key", "jaccard", "text"), epoch="epoch_before"),

@@ -92,7 +92,11 @@ def align(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     any_session = labels.where("session = ''").drop("session")
     spread = any_session.join(
         predictions.select("session", "record", "family").distinct(), ["record", "family"])
-    ls = labels.where("session <> ''").unionByName(spread.select(*labels.columns))
+    nowhere = any_session.join(
+        predictions.select("record", "family").distinct(), ["record", "family"], "left_anti"
+    ).withColumn("session", F.lit(""))
+    ls = labels.where("session <> ''").unionByName(spread.select(*labels.columns)).unionByName(
+        nowhere.select(*labels.columns))
     l = ls.select(*UNIT, F.col("start").alias("ls"), F.col("end").alias("le"), "li")
     p = predictions.select(*UNIT, F.col("start").alias("ps"), F.col("end").alias("pe"), "pi")
     whole = (F.col("le") <= F.col("ls")) | (F.col("pe") <= F.col("ps"))
@@ -166,15 +170,17 @@ def consequences(scores: DataFrame) -> DataFrame:
         F.when(c("family") == "pollution", c("false_positives")).alias("verdicts_wrong"))
 
 
-def discriminator_pairs(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+# The tests every obligation prediction carries a verdict of.
+DISCRIMINATORS = ("subject_before_marker", "not_second_person", "contained", "combined_shipped_rule")
+
+
+def discriminator_pairs(labels: DataFrame, predictions: DataFrame, names=DISCRIMINATORS) -> DataFrame:
     """Alignment once per discriminator verdict in the `detail` map."""
-    each = predictions.where("family = 'obligation'").select(
-        "*", F.explode("detail").alias("discriminator", "verdict"))
-    tag = lambda df: df.withColumn("family", F.concat_ws("|", "family", "discriminator"))
-    names = each.select("discriminator").distinct()
-    ls = tag(labels.where("family = 'obligation'").crossJoin(F.broadcast(names.limit(64))))
-    ps = tag(each).drop("value").withColumnRenamed("verdict", "value")
-    out = align(ls.drop("discriminator"), ps.drop("discriminator"))
+    tag = lambda df: df.where("family = 'obligation'").select(
+        "*", F.explode(F.array(*[F.lit(n) for n in names])).alias("discriminator")
+    ).withColumn("family", F.concat_ws("|", "family", "discriminator"))
+    ps = tag(predictions).withColumn("value", F.element_at("detail", F.col("discriminator")))
+    out = align(tag(labels).drop("discriminator"), ps.where("value is not null").drop("discriminator"))
     return out.withColumns({
         "discriminator": F.element_at(F.split("family", r"\|"), 2),
         "family": F.element_at(F.split("family", r"\|"), 1)})
@@ -229,7 +235,7 @@ def predictions(a, lex) -> DataFrame:
     from helmline.operators.features import describes
 
     c = F.col
-    cand = a.turns.select("stream_id", "turn_id", F.explode("cands").alias("k")).select(
+    cand = a.sentences.select("stream_id", "turn_id", F.explode("cands").alias("k")).select(
         "stream_id", "turn_id", "k.*")
     said = lambda x: F.when(x, "description").otherwise("directive")
     detail = F.create_map(

@@ -21,6 +21,9 @@ from helmline.operators.features import record_features
 from helmline.plans.stage import stage
 
 KEY = ["stream_id", "turn_index"]
+# Nested columns that stay with the sentence table and are not moved through later windows and joins.
+NESTED = ("segs", "cands", "kept", "tokens", "line_norms", "release_sents", "restated", "path_targets",
+          "write_paths", "snippet", "source", "named_paths")
 CAPABILITIES = ("obligation_release", "verified_repair")
 
 
@@ -29,6 +32,7 @@ class Analysis:
     """Tables of one run. Everything downstream (events, summaries, predictions) reads these."""
 
     records: DataFrame      # sequenced feature rows
+    sentences: DataFrame    # operator turns with their nested sentences, candidates and tokens
     turns: DataFrame        # operator turns with corrections, stretches and bucket characters
     cycles: DataFrame
     overlap: DataFrame
@@ -86,18 +90,18 @@ def _analyze(feats: DataFrame, lex, config) -> Analysis:
 
     cyc = stage(E.cycles(seqd), "cycles")
     overlap = E.write_overlap(seqd)
-    turns1 = E.decide_corrections(turns0, stated)
-    turns = stage(E.with_stretches(turns1, cyc, overlap, config), "stretches")
+    turns1 = E.decide_corrections(turns0, stated).drop(*NESTED)
+    turns = stage(E.with_stretches(stage(turns1, "corrections"), cyc, overlap, config), "stretches")
     rows = E.fold_rows(turns, seqd, cyc, config)
     episodes = stage(E.number_repairs(stage(E.fold_episodes(rows, config), "folded")), "episodes")
     states = stage(E.turn_states(turns, episodes), "states")
 
     outs = stage(P.outcomes(turns, config), "pointers")
     viol = O.violations(stated, turns, intro)
-    snaps = stage(snapshots(turns, seqd, cyc, states, episodes, outs, led, intro, viol, config),
+    snaps = stage(snapshots(turns, turns0, cyc, states, episodes, outs, led, intro, viol, config),
                   "snapshots")
     return Analysis(
-        records=seqd, turns=turns, cycles=cyc, overlap=overlap, occurrences=stated,
+        records=seqd, sentences=turns0, turns=turns, cycles=cyc, overlap=overlap, occurrences=stated,
         introductions=intro, claims=claims, ledger=led, violations=viol,
         near_repeats=O.near_repeats(occ, intro, led, lex), episodes=episodes, pointers=outs,
         snapshots=snaps, trends=M.trends(M.bands(snaps, config), config),
@@ -120,10 +124,10 @@ def baseline_entries(turns: DataFrame, states: DataFrame, outs: DataFrame) -> Da
     return own.unionByName(late)
 
 
-def snapshots(turns, seqd, cyc, states, episodes, outs, led, intro, viol, config=CONFIG) -> DataFrame:
+def snapshots(turns, sentences, cyc, states, episodes, outs, led, intro, viol, config=CONFIG) -> DataFrame:
     """One row per operator turn: six measure families, regime and rule."""
     obs = turns.select(*KEY, "quoted_chars", "chars").join(
-        W.repeated_lines(turns, config), KEY, "left").select(
+        W.repeated_lines(sentences, config), KEY, "left").select(
         *KEY, W.ratio(F.col("quoted_chars"), F.col("chars")).alias("q"),
         W.ratio(F.coalesce("repeat_chars", F.lit(0)), F.col("chars")).alias("r"))
     d = turns.join(states, KEY).join(obs, KEY)

@@ -30,6 +30,7 @@ from helmline.plans.stage import stage
 from helmline.plans.transcripts import seeded
 from helmline.sources import linking
 from helmline.sources.records import read_conversations, write_targets
+from helmline.sources.tables import read_table
 
 KEY = ["stream_id", "turn_index"]
 _open: dict = {}
@@ -44,6 +45,9 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        return read_table(self.spark, f"{self.dir}/{name}.parquet")
+
     @cached_property
     def records(self):
         return seeded(self.spark, self.dir)
@@ -207,7 +211,7 @@ def _(k):
 
 @query("t07_line_provenance")
 def _(k):
-    d = linking.lines_with_offsets(k.table("documents").select(
+    d = linking.lines_with_offsets(k.texts("documents").select(
         F.col("doc_id").cast("string").alias("path"), F.col("text").alias("value")))
     return d.select("path", big("offset"), "record_sha256")
 
@@ -243,20 +247,20 @@ def _(k):
 @query("f02_size_counts")
 def _(k):
     t = F.col("text")
-    return k.table("documents").select(
+    return k.texts("documents").select(
         "doc_id", big(T.n_bytes(t)).alias("bytes"), big(T.n_chars(t)).alias("chars"),
         big(T.n_words(t)).alias("words"), big(T.n_lines(t)).alias("lines"))
 
 
 @query("f03_normalize")
 def _(k):
-    return k.table("documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("norm_md5"))
+    return k.texts("documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("norm_md5"))
 
 
 @query("f04_tokens")
 def _(k):
     t = T.tokens(F.col("text"))
-    return k.table("documents").select(
+    return k.texts("documents").select(
         "doc_id", big(F.size(t)).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
@@ -285,7 +289,7 @@ def _(k):
 
 @query("f08_sentences")
 def _(k):
-    d = k.table("documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    d = k.texts("documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
     return d.select("doc_id", big("s.pos").alias("pos"), big("s.start").alias("start"),
                     big("s.end").alias("end"), big("s.chars").alias("chars"))
 
@@ -392,7 +396,7 @@ def _(k):
 @query("f24_bulk_guard")
 def _(k):
     t = F.col("text")
-    return k.table("documents").select(
+    return k.texts("documents").select(
         "doc_id", FE.is_bulk(t).alias("bulk"), (~FE.is_bulk(t) & LEX.match("stop", t)).alias("stop"),
         F.when(~FE.is_bulk(t), F.lower(LEX.find("correction_tier1", t))).alias("tier1"))
 
@@ -840,7 +844,8 @@ def _(k):
 
 @query("a15_discriminator_scores")
 def _(k):
-    d = L.score(L.discriminator_pairs(k.label_table.where("labeler = 'a'"), k.prediction_table), "discriminator")
+    d = L.score(L.discriminator_pairs(
+        k.label_table.where("labeler = 'a'"), k.prediction_table, ("even", "long")), "discriminator")
     return d.select("discriminator", "true_positives", "false_positives", "false_negatives", "true_negatives",
                     rounded(F.col("precision"), "precision"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,8 +34,17 @@ def stage(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     """Write `df` as a table under the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{folder(spark)}/helmline-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the stage tables this application has written. Results read from them must be saved first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)

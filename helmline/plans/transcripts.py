@@ -15,7 +15,7 @@ from helmline.sources.records import conform
 
 OPERATOR_PHRASES = (
     "Add a retry to src/app.py.",
-    "No, that is not what I asked.",
+    "No, that is not what I asked in src/f1.py.",
     "Only touch src/f1.py.",
     "Never edit the release workflow.",
     "Forget about the release workflow edit.",
@@ -96,8 +96,8 @@ FROM (
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical records of the seeded transcripts."""
-    spark.read.parquet(f"{sf_dir}/conversations.parquet").createOrReplaceTempView("conversations")
-    raw = spark.sql(SEED_SQL)
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    raw = spark.sql(SEED_SQL.replace("FROM conversations", "FROM {conversations}"), conversations=table)
     d = dense_seq(raw, ["stream_id"], ["ord"], block_of(F.col("conv_id"), RECORD_BLOCK))
     strings = "array<string>"
     action = lambda path: F.when(path.isNotNull(), F.struct(

@@ -48,7 +48,7 @@ def test_snapshots_equal_brute_force(spark, seed, kw):
     got = defaultdict(dict)
     for r in a.snapshots.collect():
         got[r.stream_id][r.turn_index] = r.asDict()
-    overlap = {(r.stream_id, r.turn_index): r for r in W.lexical_overlap(a.turns).collect()}
+    overlap = {(r.stream_id, r.turn_index): r for r in W.lexical_overlap(a.sentences).collect()}
     bad = []
     for sid, sim in sims.items():
         assert len(got[sid]) == len(sim.snaps)
