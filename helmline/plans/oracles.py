@@ -309,6 +309,8 @@ def build(final: str, *need: str, **fmt) -> str:
     if not order:
         return final
     body = ",\n".join(f"{n} AS ({CTES[n][1].format(**fmt) if n in fmt.get("only", ()) else CTES[n][1]})" for n in order)
+    if final.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body},\n{final[15:]}"
     if final.startswith("WITH "):
         return f"WITH {body},\n{final[5:]}"
     return f"WITH {body}\n{final}"
@@ -359,6 +361,38 @@ SELECT stream_id, seq, pos, md5(key) AS key_md5, shared, round(shared::DOUBLE /
       list_distinct({toks("arg_min(key, turn_index * 100000 + pos)")}) AS want FROM occ GROUP BY 1, 2, 3) i
     ON i.stream_id = r.stream_id AND i.epoch_before = r.epoch_before AND i.t0 < r.turn_index)
 WHERE shared >= 2 AND shared::DOUBLE / len(want) >= 0.5"""
+# Release claims one sentence after the other: a recursive walk over each epoch's release sentences.
+_CLAIMS = f"""WITH RECURSIVE rp AS (
+  SELECT r.stream_id, r.epoch_before, r.seq, r.turn_index, r.pos, lower(r.mk) AS marker, i.identity, i.key,
+    len(list_intersect(i.want, r.have))::DOUBLE / len(i.want) AS cover,
+    (SELECT max(o.turn_index) FROM occ o WHERE o.stream_id = r.stream_id AND o.epoch_before = r.epoch_before
+      AND o.identity = i.identity AND o.turn_index < r.turn_index) AS last_stated
+  FROM (SELECT *, list_distinct({toks("rest")}) AS have FROM (
+      SELECT *, substr(s, 1, strpos(s, mk) - 1) || ' ' || substr(s, strpos(s, mk) + length(mk)) AS rest FROM (
+        SELECT *, {find('release', 's')} AS mk FROM sent WHERE NOT bulk AND {m('release', 's')}))) r
+  JOIN (SELECT stream_id, epoch_before, identity, min(turn_index) AS t0, arg_min(key, turn_index * 100000 + pos) AS key,
+      list_distinct({toks("arg_min(key, turn_index * 100000 + pos)")}) AS want FROM occ GROUP BY 1, 2, 3) i
+    ON i.stream_id = r.stream_id AND i.epoch_before = r.epoch_before AND i.t0 < r.turn_index
+  WHERE len(list_intersect(i.want, r.have)) >= 2 AND len(list_intersect(i.want, r.have))::DOUBLE / len(i.want) >= 0.5),
+ranked AS (
+  SELECT stream_id, epoch_before, seq, turn_index, pos, marker,
+    row_number() OVER (PARTITION BY stream_id, epoch_before ORDER BY turn_index, pos) AS n,
+    list(struct_pack(id := identity, key := key, cover := cover, since := last_stated)) AS cs
+  FROM rp GROUP BY 1, 2, 3, 4, 5, 6),
+walk AS (
+  SELECT DISTINCT stream_id, epoch_before, 0::BIGINT AS n, []::STRUCT(id VARCHAR, t BIGINT)[] AS gone,
+    []::STRUCT(id VARCHAR, key VARCHAR, cover DOUBLE, since BIGINT)[] AS win FROM ranked
+  UNION ALL
+  SELECT stream_id, epoch_before, n, CASE WHEN len(best) = 1 THEN list_append(gone, struct_pack(id := best[1].id, t := turn_index)) ELSE gone END,
+    CASE WHEN len(best) = 1 THEN best ELSE [] END
+  FROM (SELECT *, list_filter(free, lambda c: c.cover = list_max(list_transform(free, lambda d: d.cover))) AS best FROM (
+    SELECT r.stream_id, r.epoch_before, r.n, r.turn_index, w.gone,
+      list_filter(r.cs, lambda c: len(list_filter(w.gone, lambda g: g.id = c.id AND g.t > c.since)) = 0) AS free
+    FROM walk w JOIN ranked r ON r.stream_id = w.stream_id AND r.epoch_before = w.epoch_before AND r.n = w.n + 1))),
+claims AS (
+  SELECT r.stream_id, r.epoch_before, r.seq, r.turn_index, r.pos, r.marker, w.win[1].id AS identity, w.win[1].key AS key,
+    w.win[1].cover AS cover FROM walk w JOIN ranked r USING (stream_id, epoch_before, n) WHERE len(w.win) = 1)
+"""
 _NEAR = f"""
 SELECT stream_id, seq, md5(key) AS key_md5, md5(pkey) AS prior_md5, round(j, 10) AS jaccard FROM (
   SELECT o.stream_id, o.seq, o.key, i.key AS pkey, {jac("o.tks", "i.tks")} AS j
@@ -580,4 +614,10 @@ WHERE event_id % 5 <> 0 AND EXISTS (SELECT 1 FROM events c WHERE c.user_id % 3 <
     o["v04_eligible"] = q("SELECT stream_id, seq, strlen(text) AS bytes FROM recs WHERE (is_op OR (is_agent AND seq % 3 = 0)) AND strlen(text) BETWEEN 1 AND 32768", "recs")
     o["v04_prior_turns"] = q("""SELECT stream_id, turn_index, count(t) OVER w AS n, md5(coalesce(string_agg(t, '|') OVER w, '')) AS prior_md5 FROM (SELECT stream_id, turn_index, text AS t FROM turns)
 WINDOW w AS (PARTITION BY stream_id ORDER BY turn_index ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""", "turns")
+    o["k02_releases"] = q(_CLAIMS + "SELECT stream_id, seq, pos, key, marker, round(cover, 10) AS cover FROM claims", "occ", "sent")
+    o["k02_ledger_events"] = q(_CLAIMS + """SELECT stream_id, seq, pos, CASE WHEN repeat_count = 0 THEN 'introduced' WHEN EXISTS (
+    SELECT 1 FROM claims c WHERE c.stream_id = s.stream_id AND c.epoch_before = s.epoch_before AND c.identity = s.identity AND c.turn_index <= s.turn_index
+      AND NOT EXISTS (SELECT 1 FROM stated b WHERE b.stream_id = s.stream_id AND b.epoch_before = s.epoch_before AND b.identity = s.identity
+        AND b.turn_index >= c.turn_index AND (b.turn_index < s.turn_index OR (b.turn_index = s.turn_index AND b.pos < s.pos))))
+  THEN 'revived' ELSE 'repeated' END AS event, repeat_count, kind FROM stated s""", "stated", "sent")
     return o

@@ -1020,12 +1020,12 @@ def _(k):
 
 @query("k02_releases", shaped=True)
 def _(k):
-    return k.a.claims.select("stream_id", "seq", "pos", "key", "marker", "cover")
+    return k.a.claims.select("stream_id", "seq", big("pos"), "key", "marker", rounded(F.col("cover"), "cover"))
 
 
 @query("k02_ledger_events", shaped=True)
 def _(k):
-    return k.a.occurrences.select("stream_id", "seq", "pos", "event", "repeat_count", "kind")
+    return k.a.occurrences.select("stream_id", "seq", big("pos"), "event", big("repeat_count"), "kind")
 
 
 @query("k06_settlement", shaped=True)
