@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A piece (one match of the split pattern) is a linked list of byte runs. Each merge rank has a bucket of list
-positions; a bitmap of three levels says which buckets hold any, so the next rank is found by find-first-set.
-Entries whose pair has changed meanwhile are stale and skipped. A merge costs the same however long the piece
-is, which keeps very long pieces linear.
+The pieces (matches of the split pattern) that a worker has not met yet are merged together: they are linked
+lists of byte runs in one buffer. Each merge rank has a bucket of list positions; a bitmap of two levels says
+which buckets hold any, so the next rank is found by find-first-set. Entries whose pair has changed meanwhile are
+stale and skipped. Ranks are taken in order and positions from the left, so every piece sees its own merges in
+its own order. A merge costs the same however long a piece is, which keeps very long pieces linear.
 
 Empty and null texts have no ids. Repeated rows are encoded one by one; ids may be null or repeated. Other
 columns are not read. A null or empty id list decodes to an empty byte string; an unknown id is an error.
@@ -12,14 +13,12 @@ columns are not read. A null or empty id list decodes to an empty byte string; a
 from __future__ import annotations
 
 import base64
-import itertools
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -27,117 +26,171 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from helmline.llm.common import small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: White space of the split pattern, as code points with the Unicode property.
+#: White space of the split pattern: the code points with the Unicode property.
 SPACES = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Texts without other characters than these are split alike by the standard module, which is faster.
+UNUSUAL = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba]")
+#: Pieces a worker remembers in its newer and in its older store.
+REMEMBERED = 350_000
 
 
 class RankQueue:
-    """Positions by merge rank: the smallest rank first, and the leftmost position of a rank first."""
-
-    __slots__ = ("buckets", "leaf", "middle", "top")
+    """Positions by merge rank; take() gives the smallest rank and its positions from the left."""
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
         self.leaf: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
+        if bucket is not None:
+            bucket.append(position)
             return
-        self.buckets[rank] = [position]
-        self.leaf[rank >> 6] = self.leaf.get(rank >> 6, 0) | 1 << (rank & 63)
-        self.middle[rank >> 12] = self.middle.get(rank >> 12, 0) | 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
+        self.fill(rank, [position])
+
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """An empty bucket gets these positions."""
+        self.buckets[rank] = positions
+        high = rank >> 8
+        self.leaf[high] = self.leaf.get(high, 0) | 1 << (rank & 255)
+        self.top |= 1 << high
 
-    def pop(self) -> tuple[int, int] | None:
+    def take(self) -> tuple[int, list[int]] | None:
         if not self.top:
             return None
         high = (self.top & -self.top).bit_length() - 1
-        word = self.middle[high]
-        mid = high << 6 | (word & -word).bit_length() - 1
-        word = self.leaf[mid]
-        rank = mid << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.leaf[mid] &= ~(1 << (rank & 63))
-            if not self.leaf[mid]:
-                self.middle[high] &= ~(1 << (mid & 63))
-                if not self.middle[high]:
-                    self.top &= ~(1 << high)
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """The ids of one piece."""
-    n = len(piece)
+        word = self.leaf[high]
+        low = word & -word
+        self.leaf[high] = word ^ low
+        if word == low:
+            self.top ^= 1 << high
+        rank = high << 8 | low.bit_length() - 1
+        return rank, sorted(self.buckets.pop(rank))
+
+
+def merge(pieces: list[bytes], ranks: dict[bytes, int], longest: int, two: np.ndarray) -> list[list[int]]:
+    """The ids of each piece; no piece is empty. two: the rank of each pair of bytes, -1 for none."""
+    buf = b"".join(pieces)
+    n = len(buf)
+    first = bytearray(n + 1)
+    first[n] = 1
+    at = 0
+    for piece in pieces:
+        first[at] = 1
+        at += len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [-1] * n
-    queue = RankQueue()
-    for i in range(n - 1):
-        if (rank := ranks.get(piece[i:i + 2])) is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-
-    def look(i: int) -> None:
-        pair[i] = -1
-        if (j := after[i]) < n and (end := after[j]) - i <= longest:
-            if (rank := ranks.get(piece[i:end])) is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-
-    while (found := queue.pop()) is not None:
-        rank, i = found
-        if pair[i] != rank:
-            continue
-        j = after[i]
-        pair[j] = -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        look(i)
-        if before[i] >= 0:
-            look(before[i])
-    ids, i = [], 0
+    letters = np.frombuffer(buf, np.uint8).astype(np.int32)
+    pairs = np.full(n, -1, np.int32)
+    pairs[:-1] = np.where(np.frombuffer(first, np.uint8)[1:n], -1, two[letters[:-1] << 8 | letters[1:]])
+    pair = pairs.tolist()
+    queue, rank_of = RankQueue(), ranks.get
+    push = queue.push
+    order = np.argsort(pairs, kind="stable")
+    held, at = np.unique(pairs[order], return_index=True)
+    for rank, positions in zip(held.tolist(), np.split(order, at[1:])):
+        if rank >= 0:
+            queue.fill(rank, positions.tolist())
+    while (found := queue.take()) is not None:
+        rank, positions = found
+        for k, i in enumerate(positions):
+            if pair[i] != rank:
+                continue
+            j = after[i]
+            pair[j] = -1
+            end = after[i] = after[j]
+            back = False
+            if first[end]:
+                pair[i] = -1
+            else:
+                before[end] = i
+                stop = after[end]
+                pair[i] = new = rank_of(buf[i:stop], -1) if stop - i <= longest else -1
+                if new >= 0:
+                    push(new, i)
+                    back = new <= rank
+            if not first[i]:
+                h = before[i]
+                pair[h] = new = rank_of(buf[h:end], -1) if end - h <= longest else -1
+                if new >= 0:
+                    push(new, h)
+                    back = back or new <= rank
+            if back:
+                for later in positions[k + 1:]:
+                    push(rank, later)
+                break
+    out, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i:after[i]]])
+        if first[i]:
+            out.append(ids := [])
+        ids.append(ranks[buf[i:after[i]]])
         i = after[i]
-    return ids
+    return out
 
 
-class Codec(dict):
-    """Piece (text) to its ids, remembered up to a fixed number of pieces."""
+class Codec:
+    """A vocabulary, and the ids (32-bit little-endian) of the pieces met lately."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
+        self.two = np.array([self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)], np.int32)
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         spaced = pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
         self.pieces = regex.compile(spaced).findall
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks, self.longest))
-        if len(raw) <= 256:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> np.ndarray:
-        found = map(self.__getitem__, self.pieces(text or ""))
-        return np.fromiter(itertools.chain.from_iterable(found), np.int32)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+        self.plain_pieces = self.pieces if r"\p" in plain else re.compile(plain).findall
+        most = max(self.ranks.values()) + 1
+        tokens = [b""] * most
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.known = np.zeros(most, bool)
+        self.known[list(self.ranks.values())] = True
+        self.sizes = np.fromiter(map(len, tokens), np.int64, most)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def split(self, text: str) -> list[str]:
+        return (self.pieces if UNUSUAL.search(text) else self.plain_pieces)(text)
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self.split(x) if x else [] for x in texts]
+        met = set().union(*split)
+        newer, older = self.newer, self.older
+        if len(newer) > REMEMBERED:
+            self.newer, self.older = newer, older = {}, newer
+        missing, raws = [], []
+        for piece in met:
+            if piece in newer:
+                continue
+            if (ids := older.get(piece)) is None:
+                raw = piece.encode()
+                if (rank := self.ranks.get(raw)) is None:
+                    missing.append(piece)
+                    raws.append(raw)
+                    continue
+                ids = rank.to_bytes(4, "little")
+            newer[piece] = ids
+        for piece, ids in zip(missing, merge(raws, self.ranks, self.longest, self.two) if raws else ()):
+            newer[piece] = np.array(ids, "<i4").tobytes()
+        out = [np.frombuffer(b"".join(map(newer.__getitem__, x)), "<i4") for x in split]
+        for piece, raw in zip(missing, raws):
+            if len(raw) > 256:
+                del newer[piece]
+        return out
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each id list; list i is ids[offsets[i]:offsets[i + 1]]."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        held = self.letters[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [
+            None, pa.py_buffer(ends[offsets].astype(np.int64)), pa.py_buffer(held)]).cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
@@ -159,9 +212,9 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in small_batches(batches, "bpe_text", 4 << 20):
-            found = [own.encode(x) for x in batch.column("bpe_text").to_pylist()]
+            found = own.encode(batch.column("bpe_text").to_pylist())
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
             names = [f.name for f in schema.fields[:-1]]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), ids], [*names, "ids"])
 
@@ -180,7 +233,10 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = RA
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = pa.array([own.decode(x or ()) for x in batch.column(ids).to_pylist()], pa.binary())
+                lists = batch.column(ids)
+                sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                found = own.decode(flat, np.concatenate(([0], np.cumsum(sizes))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), found], [*names, out])
 
     return df.mapInArrow(run, schema)

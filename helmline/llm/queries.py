@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from helmline.llm import bpe, simhash
+from helmline.llm import bpe, mixing, pii, quality, simhash
 from helmline.llm.common import sha256_hex, table
 
 
@@ -24,9 +24,35 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weight, sampling probability and draw of every document."""
+    return mixing.probabilities(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found").select("doc_id", "found")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(count(k.name) for k in pii.KINDS if k.base),
+        sha256_hex(pii.listed(F.filter("found", lambda s: s.base))).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_source_mixing": op8_source_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}

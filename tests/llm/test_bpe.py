@@ -2,6 +2,7 @@
 
 import base64
 import random
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -41,9 +42,9 @@ def test_ids_and_bytes(spark, reference):
 def test_all_code_points_near_spaces(reference):
     own = bpe.codec(bpe.RANKS, public_tokenizers.PATTERN)
     for c in [*range(0, 0x3100), 0xFEFF, 0x1F600]:
-        if not 0xD800 <= c < 0xE000:
-            text = f"a {chr(c)}{chr(c)} b1{chr(c)}"
-            assert own.encode(text).tolist() == reference.encode_ordinary(text), hex(c)
+        if unicodedata.category(chr(c)) not in ("Cs", "Cn"):  # what is assigned later differs between libraries
+            text = f"a {chr(c)}{chr(c)} b1{chr(c)}_{chr(c)}'s"
+            assert own.encode([text])[0].tolist() == reference.encode_ordinary(text), hex(c)
 
 
 def test_queue_order():
@@ -51,8 +52,10 @@ def test_queue_order():
     held = [(rng.randrange(60000), rng.randrange(50)) for _ in range(2000)]
     for rank, position in held:
         queue.push(rank, position)
-    assert [queue.pop() for _ in held] == sorted(held)
-    assert queue.pop() is None
+    got = []
+    while (found := queue.take()) is not None:
+        got += [(found[0], position) for position in found[1]]
+    assert got == sorted(held)
 
 
 def test_clashing_columns_and_empty_table(spark):
