@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from helmline.llm import bpe, mixing, pii, quality, simhash
+from helmline.llm import bpe, html_text, mixing, neighbours, phrases, pii, quality, simhash, suffixes, toxicity
 from helmline.llm.common import sha256_hex, table
 
 
@@ -19,6 +19,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that recur from documents with smaller ids, removed."""
+    return phrases.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
+def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that recur from documents with smaller ids, removed."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -30,11 +42,31 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a model of the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", F.length("text").cast("bigint").alias("n_chars"), sha256_hex(F.col("text")).alias("text_sha256"), "text")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, sampling probability and draw of every document."""
     return mixing.probabilities(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found").select("doc_id", "found")
@@ -49,9 +81,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_repeated_phrases": op2_repeated_phrases,
+    "op3_suffix_arrays": op3_suffix_arrays,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op7_html_text": op7_html_text,
     "op8_source_mixing": op8_source_mixing,
+    "op9_vector_duplicates": op9_vector_duplicates,
     "op10_pii": op10_pii,
 }
 
