@@ -35,8 +35,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Units worked on at once, so that the arrays stay in a core's cache.
+_CHUNK = 1 << 15
+
+
 def rolling(units: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """A hash of each run of n units (uint64), by doubling: as many results as units; the last n - 1 are of no use."""
+    """A hash of each run of n units (uint64): as many results as units; the last n - 1 are of no use."""
+    return np.concatenate([np.zeros(0, np.uint64), *(
+        _rolling(units[i:i + _CHUNK + n - 1], n, base)[:_CHUNK] for i in range(0, len(units), _CHUNK))])
+
+
+def _rolling(units: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """rolling() by doubling."""
     have, h, done, out = 1, units, 0, None
     power = base
     while True:
@@ -45,13 +55,13 @@ def rolling(units: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
                 out = h.copy()
             else:
                 moved = np.zeros_like(h)
-                moved[:len(h) - done] = h[done:]
+                moved[:max(len(h) - done, 0)] = h[done:]
                 out = out * np.uint64(pow(int(base), have, 1 << 64)) + moved
             done += have
         if done == n:
             return mixed(out)
         longer = h * power
-        longer[:len(h) - have] += h[have:]
+        longer[:max(len(h) - have, 0)] += h[have:]
         h, have, power = longer, 2 * have, power * power
 
 
@@ -61,7 +71,8 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     while have < n:
         step = min(have, n - have)
         new = least.copy()
-        np.minimum(least[:len(x) - step], least[step:], out=new[:len(x) - step])
+        m = max(len(x) - step, 0)
+        np.minimum(least[:m], least[step:], out=new[:m])
         least, have = new, have + step
     return least
 
@@ -78,20 +89,36 @@ class Runs:
 
 def runs_of(units: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> Runs:
     """units: hashes of all documents' units one after another; sizes: units of each document."""
+    ends = np.cumsum(sizes)
+    parts, doc = [], 0
+    while doc < len(sizes):
+        start = int(ends[doc] - sizes[doc])
+        stop = max(int(np.searchsorted(ends, start + 2 * _CHUNK, side="right")), doc + 1)
+        parts.append(_runs(units[start:int(ends[stop - 1])], sizes[doc:stop], window, gram, start))
+        doc = stop
+    return Runs(*(np.concatenate([np.zeros(0, k), *(getattr(p, f) for p in parts)])
+                  for f, k in (("first", np.int64), ("last", np.int64), ("place", np.int64), ("anchor", np.uint64))))
+
+
+def _runs(units: np.ndarray, sizes: np.ndarray, window: int, gram: int, base: int) -> Runs:
+    """The runs of some documents; base: the place of the first unit."""
     with np.errstate(over="ignore"):
         ends = np.cumsum(sizes)
         n_windows = np.maximum(sizes - window + 1, 0)
         none = np.zeros(0, np.int64)
         if not n_windows.sum():
             return Runs(none, none, none, np.zeros(0, np.uint64))
-        grams = rolling(units, gram)
+        grams = _rolling(units, gram, _BASE)
         keyed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(units), dtype=np.uint64)
-        place = (sliding_least(keyed, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        least = sliding_least(keyed, window - gram + 1)
         starts = np.repeat(ends - sizes, n_windows) + _within(n_windows)
-        at = place[starts]
-        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))))
+        at = least[starts]
+        new = np.concatenate(([True], at[1:] != at[:-1]))
+        new[(np.cumsum(n_windows) - n_windows)[n_windows > 0]] = True
+        new = np.flatnonzero(new)
         stop = np.concatenate((new[1:], [len(at)])) - 1
-        return Runs(starts[new], starts[stop], at[new], grams[at[new]])
+        place = (at[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return Runs(starts[new] + base, starts[stop] + base, place + base, grams[place])
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -164,12 +191,15 @@ def recurring_anchors(anchors: DataFrame) -> DataFrame:
 
 def own_anchors(runs: Runs, doc_of_unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct anchors of a block, and whether two of its documents have it."""
-    own, of = np.unique(runs.anchor, return_inverse=True)
-    doc = doc_of_unit[runs.first]
-    least, most = np.full(len(own), NO_ID), np.full(len(own), np.iinfo(np.int64).min)
-    np.minimum.at(least, of, doc)
-    np.maximum.at(most, of, doc)
-    return own, (least < most).astype(np.uint64)
+    order = np.argsort(runs.anchor)
+    anchor, doc = runs.anchor[order], doc_of_unit[runs.first[order]]
+    if not len(order):
+        return anchor, anchor
+    same = anchor[1:] == anchor[:-1]
+    starts = np.flatnonzero(np.concatenate(([True], ~same)))
+    # A group with two documents has two neighbours that differ.
+    differs = np.concatenate(([False], same & (doc[1:] != doc[:-1])))
+    return anchor[starts], np.logical_or.reduceat(differs, starts).astype(np.uint64)
 
 
 def blocked(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:

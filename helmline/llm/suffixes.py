@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from helmline.llm import anchors as A
+from helmline.llm.common import staged
 
 WINDOW, GRAM = 50, 26
 #: Bytes of pieces that get a transform of their own.
@@ -46,23 +47,29 @@ def merge(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple
     """The interleave of transforms ordered by the first `depth` characters, and the common prefix of each place with the
     one before it, at most depth. strings: the number of strings of each transform."""
     sizes = [len(t) for t in transforms]
+    symbols = np.concatenate(transforms)
+    base = np.cumsum(sizes) - sizes
+    # Row of the suffix that is one character longer, within the row's own transform; strings' ends are its first rows.
+    longer = np.empty(len(symbols), np.int32)
+    for t, b, k in zip(transforms, base.tolist(), strings):
+        longer[np.argsort(t, kind="stable")[k:] + b] = np.arange(b + k, b + len(t), dtype=np.int32)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
-    symbols_of = np.concatenate(transforms)
-    ends = np.repeat(np.arange(len(transforms), dtype=np.uint16), strings)
+    ends = np.concatenate([np.arange(b, b + k, dtype=np.int32) for b, k in zip(base.tolist(), strings)])
     n_ends = len(ends)
-    group = np.zeros(len(source), np.int64)
-    common = np.zeros(len(source), np.int32)
+    row = np.arange(len(symbols), dtype=np.int32)
+    group = np.zeros(len(symbols), np.int32)
+    common = np.zeros(len(symbols), np.int32)
     for _ in range(depth):
-        symbol = np.empty(len(source), np.uint8)
-        symbol[np.argsort(source, kind="stable")] = symbols_of
+        symbol = symbols[row]
         order = np.argsort(symbol, kind="stable")[n_ends:]
         # The ends of strings come first and stay in the order of their strings; all else follows by symbol.
-        source = np.concatenate((ends, source[order]))
         s, g = symbol[order], group[order]
-        new = np.concatenate((np.ones(min(len(s), 1), bool), (s[1:] != s[:-1]) | (g[1:] != g[:-1])))
-        group = np.concatenate((np.zeros(n_ends, np.int64), np.cumsum(new)))
-        common[n_ends:] += ~new
-    return source, common
+        row = np.concatenate((ends, longer[row[order]]))
+        same = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
+        new = np.concatenate((np.ones(min(len(s), 1), bool), ~same))
+        group = np.concatenate((np.zeros(n_ends, np.int32), np.cumsum(new, dtype=np.int32)))
+        common[n_ends + 1:] += same
+    return source[row], common
 
 
 def least_per_string(pieces: list[bytes], doc: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -125,14 +132,16 @@ class Block:
         return out
 
 
-def _pairs(anchor: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first index, group of each) of equal (anchor, digest) pairs, sorted by both."""
-    order = np.lexsort((digest, anchor))
-    a, d = anchor[order], digest[order]
-    new = np.concatenate((np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (d[1:] != d[:-1])))
-    group = np.empty(len(a), np.int64)
+def _pairs(anchor: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one, group of each) of equal (anchor, digest) pairs, among the pairs of one block or shard."""
+    with np.errstate(over="ignore"):
+        key = A.mixed(anchor + A.mixed(digest))
+    order = np.argsort(key)
+    k = key[order]
+    new = np.concatenate((np.ones(min(len(k), 1), bool), k[1:] != k[:-1]))
+    group = np.empty(len(k), np.int64)
     group[order] = np.cumsum(new) - 1
-    return order[new], group, order
+    return order[new], group
 
 
 #: What a shard tells a block about a piece: the smallest document it is in, settled; or that its strings must be compared.
@@ -156,7 +165,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         _, (anchor,) = A.gathered(answers, 1)
         keep = A.found_in(block.runs.anchor, np.sort(anchor))
         own, digests = block.runs.anchor[keep], block.digests()[keep]
-        first, group, _ = _pairs(own, digests)
+        first, group = _pairs(own, digests)
         least = np.full(len(first), A.NO_ID)
         np.minimum.at(least, group, block.ids[block.doc[block.runs.first[keep]]])
         return A.send(key[0].as_py(), own[first], [own[first], digests[first], least], n)
@@ -179,14 +188,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         keep = several | (overall < least)
         return A.answer(key[0].as_py(), blocks[keep], [anchor[keep], piece[keep], overall[keep], state[keep]])
 
-    settled = digests.groupBy("shard").applyInArrow(settle, A.PACKED)
+    # Two steps read what is settled; written, it is worked out once.
+    settled = staged(digests.groupBy("shard").applyInArrow(settle, A.PACKED))
 
     def give(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(rows)
         _, (anchor, piece, least, state) = A.gathered(answers, 4)
         some = state != SETTLED
         anchor, piece, least, state = anchor[some], piece[some], least[some], state[some]
-        first, group, _ = _pairs(np.concatenate((anchor, block.runs.anchor)), np.concatenate((piece, block.digests())))
+        first, group = _pairs(np.concatenate((anchor, block.runs.anchor)), np.concatenate((piece, block.digests())))
         own = np.full(len(first), -1, np.int64)
         own[group[len(anchor):]] = np.arange(len(block.runs.anchor))
         run = own[group[:len(anchor)]]
@@ -215,16 +225,23 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         ends = np.cumsum(sizes)
         sent = np.flatnonzero(sizes)
         found = least_per_string([data[ends[i] - sizes[i]:ends[i]] for i in sent], least[sent].view(np.int64)) if len(sent) else []
-        _, group, _ = _pairs(anchor, piece)
+        _, group = _pairs(anchor, piece)
         by_group = np.full(int(group.max(initial=-1)) + 1, -1, np.int64)
         by_group[group[sent]] = np.arange(len(sent))
-        which = by_group[group]
         counts = np.array([len(x) for x in found], np.int64)
         begin = np.cumsum(counts) - counts
         flat = np.concatenate([np.zeros(0, np.int64), *found])
-        n_of = counts[which]
-        at = A.expand(begin[which], begin[which] + n_of - 1)
-        return A.answer(key[0].as_py(), np.repeat(blocks, n_of), [np.repeat(anchor, n_of), np.repeat(piece, n_of), flat[at], np.ones(len(at))])
+        # A piece whose strings all come from its own first document is settled by that.
+        alike = np.array([bool((x == d).all()) for x, d in zip(found, least[sent].view(np.int64).tolist())], bool)
+        which = by_group[group]
+        single = np.flatnonzero(alike[which] & (sizes == 0)) if len(sent) else which
+        many = np.flatnonzero(~alike[which]) if len(sent) else which
+        n_of = counts[which[many]]
+        at = A.expand(begin[which[many]], begin[which[many]] + n_of - 1)
+        entry = np.concatenate((single, np.repeat(many, n_of)))
+        value = np.concatenate((least[single].view(np.int64), flat[at]))
+        alone = np.concatenate((np.ones(len(single), np.int64), np.zeros(len(at), np.int64)))
+        return A.answer(key[0].as_py(), blocks[entry], [anchor[entry], piece[entry], value, alone])
 
     compared = texts.groupBy("shard").applyInArrow(compare, A.PACKED)
     answers = settled.withColumn("strings", F.lit(0)).union(compared.withColumn("strings", F.lit(1)))
@@ -237,10 +254,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         _, (anchor, piece, least, state) = A.gathered(answers.filter(pa.array(~is_strings)), 4)
         flat = state == SETTLED
         anchor, piece, least = anchor[flat], piece[flat], least[flat].view(np.int64)
-        _, (s_anchor, s_piece, s_least, _) = A.gathered(answers.filter(pa.array(is_strings)), 4)
+        _, (s_anchor, s_piece, s_least, alone) = A.gathered(answers.filter(pa.array(is_strings)), 4)
+        one = alone == 1
+        anchor, piece = np.concatenate((anchor, s_anchor[one])), np.concatenate((piece, s_piece[one]))
+        least = np.concatenate((least, s_least[one].view(np.int64)))
+        s_anchor, s_piece, s_least = s_anchor[~one], s_piece[~one], s_least[~one]
         new = np.concatenate((np.ones(min(len(s_anchor), 1), bool), (s_anchor[1:] != s_anchor[:-1]) | (s_piece[1:] != s_piece[:-1])))
         s_at = np.flatnonzero(new)
-        first, group, _ = _pairs(np.concatenate((runs.anchor, anchor, s_anchor[s_at])), np.concatenate((pieces, piece, s_piece[s_at])))
+        first, group = _pairs(np.concatenate((runs.anchor, anchor, s_anchor[s_at])), np.concatenate((pieces, piece, s_piece[s_at])))
         n_runs = len(runs.anchor)
         own = group[:n_runs]
         # Equal pieces within the block, pieces settled elsewhere, and pieces whose strings were compared.
@@ -252,15 +273,16 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         strings[group[n_runs + len(anchor):]] = s_at
         marks = np.zeros(len(block.data) + 1, np.int64)
         if n_runs:
-            windows = A.expand(runs.first, runs.last)
-            run = np.repeat(np.arange(n_runs), runs.last - runs.first + 1)
+            some = np.flatnonzero((strings[own] >= 0) | (known[own] < doc_of[runs.first]))
+            windows = A.expand(runs.first[some], runs.last[some])
+            run = np.repeat(some, (runs.last - runs.first + 1)[some])
             value = known[own[run]]
             offset = strings[own[run]]
             many = offset >= 0
             value[many] = np.minimum(value[many], s_least.view(np.int64)[offset[many] + (windows - runs.first[run])[many]])
             hit = windows[value < doc_of[windows]]
-            np.add.at(marks, hit, 1)
-            np.add.at(marks, hit + WINDOW, -1)
+            marks += np.bincount(hit, minlength=len(marks))
+            marks -= np.bincount(hit + WINDOW, minlength=len(marks))
         gone = np.cumsum(marks)[:-1] > 0
         data = np.frombuffer(block.data, np.uint8)
         ends = np.cumsum(block.sizes)
