@@ -28,8 +28,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def group_count(spark: SparkSession, total_bytes: int, target_bytes: int) -> int:
-    """Number of groups so that one holds about target_bytes; several per shuffle partition, so that they even out."""
-    return max(4 * shuffle_partitions(spark), -(-total_bytes // target_bytes))
+    """Number of groups so that one holds about target_bytes; two per shuffle partition at least, so that they even out."""
+    return max(2 * shuffle_partitions(spark), -(-total_bytes // target_bytes))
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,8 @@
 
 A phrase is 13 consecutive words of one document. Anchors (see anchors.py) leave the windows that can be in two
 documents; their digests meet in shards, which confirm the phrases that recur and the smallest document each starts in.
-For every block of documents the phrases that recur in it are compiled into automata over word numbers, at most
-SHARD_PHRASES at a time, and the documents are streamed through them; each word that an occurrence covers is removed if
+For every block of documents the phrases that tile its recurring passages are compiled into automata over word numbers, at
+most SHARD_PHRASES at a time, and the documents are streamed through them; each word that an occurrence covers is removed if
 the phrase also starts in a document with a smaller id. Digests have 96 bits between blocks; within a block the automata
 compare words.
 
@@ -65,11 +65,10 @@ class Block:
         return A.expand(begin[has], (begin + n - 1)[has])
 
 
-def _least_and_most(of: np.ndarray, n: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    least, most = np.full(n, A.NO_ID), np.full(n, np.iinfo(np.int64).min)
-    np.minimum.at(least, of, doc)
-    np.maximum.at(most, of, doc)
-    return least, most
+def _least(of: np.ndarray, n: int, doc: np.ndarray) -> np.ndarray:
+    out = np.full(n, A.NO_ID)
+    np.minimum.at(out, of, doc)
+    return out
 
 
 def covered_words(block: Block, phrase: np.ndarray, first_doc: np.ndarray, needs: np.ndarray) -> np.ndarray:
@@ -120,7 +119,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             one = A.rolling(block.words, WINDOW)[at]
             two = A.rolling(block.words, WINDOW, A._OTHER)[at]
         own, first, of = np.unique(one, return_index=True, return_inverse=True)
-        least, _ = _least_and_most(of, len(own), block.ids[block.doc[at]])
+        least = _least(of, len(own), block.ids[block.doc[at]])
         return A.send(key[0].as_py(), own, [own, two[first] >> np.uint64(32), least], n)
 
     digests = docs.groupBy("block").cogroup(recurring.groupBy("block")).applyInArrow(digest, A.PACKED)
@@ -147,18 +146,24 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if len(at):
             with np.errstate(over="ignore"):
                 one = A.rolling(block.words, WINDOW)[at]
-            own, first, of = np.unique(one, return_index=True, return_inverse=True)
+            own, of = np.unique(one, return_inverse=True)
             doc = block.ids[block.doc[at]]
-            least, most = _least_and_most(of, len(own), doc)
+            least = _least(of, len(own), doc)
             place = np.minimum(np.searchsorted(own, known), len(own) - 1)
             same = own[place] == known
             np.minimum.at(least, place[same], known_first[same].view(np.int64))
-            wanted = np.flatnonzero(least < most)
-            wanted = wanted[np.argsort(first[wanted])]
-            member = np.zeros(len(own), bool)
-            member[wanted] = True
-            needs = np.unique(block.doc[at[member[of]]])
-            gone = covered_words(block, at[first[wanted]], least[wanted], needs)
+            repeats = np.flatnonzero(least[of] < doc)
+            # A passage is a run of such windows; windows side by side, and its last, cover it.
+            place = at[repeats]
+            ends_run = np.concatenate((place[1:] != place[:-1] + 1, np.ones(min(len(place), 1), bool)))
+            starts_run = np.concatenate((np.ones(min(len(place), 1), bool), ends_run[:-1]))
+            begin = np.flatnonzero(starts_run)
+            step = np.arange(len(place)) - (begin[np.cumsum(starts_run) - 1] if len(begin) else 0)
+            tiles = repeats[(step % WINDOW == 0) | ends_run]
+            phrases, first_tile = np.unique(of[tiles], return_index=True)
+            order = np.argsort(tiles[first_tile])
+            phrases, first_tile = phrases[order], first_tile[order]
+            gone = covered_words(block, at[tiles[first_tile]], least[phrases], np.unique(block.doc[place]))
         removed = np.bincount(block.doc[gone], minlength=len(rows))
         raw = block.data.tobytes()
         begin = np.cumsum(block.sizes) - block.sizes
