@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from helmline.llm.common import small_batches
 
-SAMPLE = 3000
+SAMPLE = 1200
 LENGTH, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 EMBED, HIDDEN, ATTEND = 8, 8, 8
