@@ -581,14 +581,14 @@ SELECT 'obligation' AS family, 'a' AS labeler_a, 'b' AS labeler_b, u AS units, r
     o["l02_newest_sessions"] = """SELECT id, root FROM (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS root, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR) AS n FROM events)
 WHERE n <= 3 ORDER BY ts DESC, id LIMIT 15"""
     o["l03_turn_sample"] = q("SELECT stream_id, turn_id FROM (SELECT stream_id, 'seq-' || seq AS turn_id FROM turns) WHERE ('0x' || substr(sha256(stream_id || '/' || turn_id), 1, 8))::BIGINT % 1000 < 250", "turns")
-    o["l04_split"] = _split_sql("true", "WHERE nth <= 120", _DEAL)
+    o["l04_split"] = _split_sql("true", "", _DEAL)
     o["u04_path_union"] = q("""WITH w AS (SELECT stream_id, seq, CASE WHEN write_path = write_path2 THEN [write_path] ELSE writes END AS p FROM recs WHERE len(writes) > 0)
 SELECT a.stream_id, a.seq, array_to_string(a.p || list_filter(b.p, lambda x: NOT list_contains(a.p, x)), ',') AS paths FROM w a JOIN w b ON b.stream_id = a.stream_id AND b.seq = a.seq + 2""", "recs")
     dist = lambda l: f"list_transform(list_filter(range(1, len({l}) + 1), lambda i: list_position({l}, {l}[i]) = i), lambda i: {l}[i])"
     o["k03_corrections"] = q(f"""SELECT stream_id, seq, marker AS correction_marker, coalesce(ptype, 'unknown') AS target_type, array_to_string({dist('l')}, ',') AS paths
 FROM (SELECT *, regexp_extract_all(text, {pat('pointer_file')}) AS l FROM corr WHERE marker IS NOT NULL)""", "corr")
     o["k04_sentence_units"] = q("""SELECT s.stream_id AS session, 'seq-' || s.seq AS record, start_b AS start, end_b AS "end", md5(s.s) AS text_md5, len(string_split(t.text, chr(10))) AS turn_lines
-FROM sent s JOIN turns t USING (stream_id, seq) WHERE ('0x' || substr(sha256('seq-' || s.seq), 1, 8))::BIGINT % 1000 < 500""", "sent")
+FROM sent s JOIN turns t USING (stream_id, seq)""", "sent")
     o["k04_turn_context"] = q(f"""WITH p AS (SELECT stream_id, turn_index, list(path ORDER BY seq, i) AS l FROM (SELECT stream_id, turn_index, seq, unnest(w) AS path, generate_subscripts(w, 1) AS i FROM (
     SELECT *, CASE WHEN write_path = write_path2 THEN [write_path] ELSE writes END AS w FROM seqd WHERE is_agent)) GROUP BY 1, 2),
 c AS (SELECT x.stream_id, x.turn_index, coalesce(array_to_string({dist('l')}, ','), '') AS w, f, it FROM (SELECT stream_id, turn_index, sum(n_failed)::BIGINT AS f, bool_or(is_interrupt) AS it FROM seqd WHERE NOT is_op GROUP BY 1, 2) x LEFT JOIN p USING (stream_id, turn_index))

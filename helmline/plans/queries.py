@@ -894,7 +894,7 @@ def _(k):
 
 @query("l04_split")
 def _(k):
-    return C.assign_split(_sessions(k).select("id", "project"), per_project=120)
+    return C.assign_split(_sessions(k).select("id", "project"))
 
 
 @query("u04_path_union", shaped=True)
@@ -915,7 +915,7 @@ def _(k):
 @query("k04_sentence_units")
 def _(k):
     d = U.sentence_units(k.records.withColumn("is_op", FE.is_operator_turn(
-        F.col("speaker_class"), F.col("sidechain"), F.col("input_mode"))), 500)
+        F.col("speaker_class"), F.col("sidechain"), F.col("input_mode"))))
     return d.select("session", "record", big("start"), big("end"), F.md5("text").alias("text_md5"), big("turn_lines"))
 
 
