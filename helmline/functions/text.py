@@ -253,3 +253,10 @@ def clean_path(path: Column) -> Column:
         .when(walked == "", ".")
         .otherwise(walked)
     )
+
+
+def without_first(text: Column, part: Column) -> Column:
+    """The text with the first occurrence of a part of it replaced by a space."""
+    at = F.position(part, text)
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.lit(" "),
+                    F.substring(text, at + F.length(part), F.length(text)))

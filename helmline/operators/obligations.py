@@ -71,8 +71,7 @@ def release_pairs(turns: DataFrame, intro: DataFrame, lex=LEXICON) -> DataFrame:
     ).select(
         *EPOCH, "turn_index", "seq", "turn_id", F.col("r.pos").alias("pos"),
         T.lower(F.col("r.marker")).alias("marker"),
-        T.token_set(F.expr("concat(substr(r.text, 1, position(r.marker in r.text) - 1), ' ', "
-                           "substr(r.text, position(r.marker in r.text) + length(r.marker)))"))
+        T.token_set(T.without_first(F.col("r.text"), F.col("r.marker")))
         .alias("have"),
     )
     # Epochs without a release sentence take no part.

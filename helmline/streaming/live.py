@@ -47,7 +47,7 @@ def live_rows(records: DataFrame, lex=LEXICON, config=CONFIG) -> DataFrame:
     kept = F.transform("kept", lambda k: F.struct(
         k["key"].alias("key"), F.coalesce(F.nullif(k["content_key"], F.lit("")), k["key"]).alias("id"),
         T.token_set(k["key"]).alias("tokens")))
-    release = F.transform("release_sents", lambda r: T.token_set(F.replace(r["text"], r["marker"], F.lit(" "))))
+    release = F.transform("release_sents", lambda r: T.token_set(T.without_first(r["text"], r["marker"])))
     return f.select(
         "stream_id", "seq", "is_op", "is_agent", "is_interrupt", "chars", "write_paths", "failed_actions",
         F.unix_micros("ts").alias("us"), "tier1", "tier2", "reset", "stop", "acceptance", "continuation",
@@ -59,8 +59,9 @@ def live_rows(records: DataFrame, lex=LEXICON, config=CONFIG) -> DataFrame:
 class _Live:
     """State of one stream; `body` is everything that has to survive a batch."""
 
-    def __init__(self, body: dict, config):
+    def __init__(self, body: dict, config, least_shared: int, coverage: float):
         self.b, self.config = body, config
+        self.least_shared, self.coverage = least_shared, coverage
         self.fold = EpisodeFold(config.window.correction_durability_turns, body["fold"])
 
     @staticmethod
@@ -141,7 +142,7 @@ class _Live:
             have, fits = set(words), []
             for k in standing - claimed:
                 want = set(self.b["ids"][k]["tokens"])
-                if len(want & have) >= 2 and len(want & have) / len(want) >= 0.5:
+                if len(want & have) >= self.least_shared and len(want & have) / len(want) >= self.coverage:
                     fits.append((len(want & have) / len(want), k))
             top = max((f for f, _ in fits), default=None)
             best = [k for f, k in fits if f == top]
@@ -180,10 +181,10 @@ def _plain(row):
     return out
 
 
-def _stepper(config):
+def _stepper(config, least_shared: int, coverage: float):
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         body = json.loads(state.get[0]) if state.exists else _Live.fresh()
-        live, out = _Live(body, config), []
+        live, out = _Live(body, config, least_shared, coverage), []
         for frame in frames:
             for row in frame.to_dict("records"):
                 row = _plain(row)
@@ -205,7 +206,7 @@ def _stepper(config):
 def live_turns(records: DataFrame, lex=LEXICON, config=CONFIG) -> DataFrame:
     """Per-turn state of every stream, emitted as soon as the turn and all records before it are in."""
     return live_rows(records, lex, config).groupBy("stream_id").applyInPandasWithState(
-        _stepper(config), TURNS, STATE, "append", GroupStateTimeout.NoTimeout)
+        _stepper(config, int(lex.param("release_shared_tokens", 2)), float(lex.param("release_coverage", 0.5))), TURNS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def without_repeats(records: DataFrame, arrival: str, delay: str) -> DataFrame:
