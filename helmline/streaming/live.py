@@ -78,7 +78,7 @@ class _Live:
             over = [w for w in r["write_paths"] if w in b["before"]] if b["turn"] else []
             if b["turn"]:
                 b["writes"] = sorted({*b["writes"], *r["write_paths"]})
-            fires = bool(over) and self.fold.s["active"] is None
+            fires = bool(over) and self.fold.current is None
             if fires:
                 b["before"] = []
             self.fold.agent(dict(
@@ -98,7 +98,7 @@ class _Live:
         b["turn"] += 1
         seen = {n for turn in b["recent"] for n in turn}
         sums = dict.fromkeys(("forward", "control", "recovery", "restate", "other"), 0)
-        open_before = self.fold.s["active"] is not None
+        open_before = self.fold.current is not None
         for s in parts.get("segs") or []:
             kind = s["bucket"].lower()
             if s["label"] == "handoff":

@@ -10,7 +10,7 @@ import re
 import statistics
 import unicodedata
 
-from helmline.functions.fold import EpisodeFold
+from tests.repairs import Episodes
 
 CONTROL = {"scope_constraint", "negative_constraint", "positive_constraint", "stop_condition",
            "meta_process"}
@@ -31,7 +31,7 @@ def us(ts):
 class Stream:
     def __init__(self):
         self.turn = self.epoch = 0
-        self.fold = EpisodeFold(10)
+        self.fold = Episodes(10)
         self.obl, self.index = [], {}
         self.pend, self.baseline, self.window = [], [], []
         self.corr, self.miss, self.intr, self.reps = [], [], [], []
@@ -48,7 +48,7 @@ class Stream:
         return [o for o in self.obl if o["status"] in ("unresolved", "violated")]
 
     def feed(self, r):
-        active = self.fold.s["active"] is not None
+        active = self.fold.open is not None
         if r.is_op:
             self.pri_w, self.cyc_w = self.cyc_w, set()
             self.op = (r.seq, us(r.ts))
@@ -90,7 +90,7 @@ class Stream:
         # classification context
         restated = {n for h in self.prior_sents for n in h}
         start_standing = self.standing()
-        active = self.fold.s["active"] is not None
+        active = self.fold.open is not None
         b = dict(forward=0, control=0, recovery=0, restate=0, other=0)
         for s in r.segs:
             lab = s.label
