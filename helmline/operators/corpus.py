@@ -49,9 +49,10 @@ def assign_split(candidates: DataFrame, prior: DataFrame | None = None, per_proj
     """Deal sessions alternately to dev and holdout, per project in hash order.
 
     The hash is uniform, so its leading digits cut a project of any size into equal blocks. Sessions
-    of `prior` (id, project, split) keep their side, and unseen prior sessions stay.
+    of `prior` (id, project, split) keep their side, and unseen prior sessions stay. An id under several
+    projects is dealt once, under the first of them by name.
     """
-    d = candidates.dropDuplicates(["id", "project"]).withColumn("h", hash_order(F.col("id")))
+    d = candidates.groupBy("id").agg(F.min("project").alias("project")).withColumn("h", hash_order(F.col("id")))
     block = F.conv(F.substring("h", 1, 3), 16, 10).cast("long")
     d = running(d, ["project"], ["h", "id"], block, {"nth": Run("sum", F.lit(1).cast("long"))})
     if per_project > 0:

@@ -125,8 +125,11 @@ def align(labels: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
-    """Every (labeled, predicted) cell, with '(silent)' and '(unlabeled)' for a missing side."""
-    return pairs.groupBy(
+    """Every (labeled, predicted) cell, with '(silent)' and '(unlabeled)' for a missing side.
+
+    Units nobody could label are no cell; `score` counts them apart.
+    """
+    return pairs.where(F.coalesce(F.col("label"), F.lit("")) != UNLABELABLE).groupBy(
         "family", F.coalesce("label", F.lit("(unlabeled)")).alias("labeled"),
         F.coalesce("value", F.lit("(silent)")).alias("predicted"),
     ).agg(F.count("*").alias("units"))

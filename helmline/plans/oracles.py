@@ -561,7 +561,7 @@ SELECT c.stream_id, count(*) AS recorded, count(*) FILTER (status = 'completed')
   any_value(xs[(len(xs) * 50 + 99) // 100]) AS p50_latency_ms, any_value(xs[(len(xs) * 95 + 99) // 100]) AS p95_latency_ms FROM compl c LEFT JOIN l USING (stream_id) GROUP BY 1""", "compl")
     o["a10_corpus_survey"] = q("SELECT stream_id, records, operator_turns, actions, write_actions, interrupts, skipped FROM surveyed", "surveyed")
     o["a11_survey_roll_up"] = q("SELECT skipped, count(*) AS sessions, sum(operator_turns)::BIGINT AS operator_turns, sum(actions)::BIGINT AS actions, count(DISTINCT project) AS projects FROM surveyed GROUP BY 1", "surveyed")
-    o["a12_confusion"] = q("SELECT 'obligation' AS family, coalesce(label, '(unlabeled)') AS labeled, coalesce(value, '(silent)') AS predicted, count(*) AS units FROM pairs GROUP BY 1, 2, 3", "pairs")
+    o["a12_confusion"] = q("SELECT 'obligation' AS family, coalesce(label, '(unlabeled)') AS labeled, coalesce(value, '(silent)') AS predicted, count(*) AS units FROM pairs WHERE label IS DISTINCT FROM 'unlabelable' GROUP BY 1, 2, 3", "pairs")
     sc = f"""SELECT *, true_positives + false_positives AS predicted_positive, true_positives + false_negatives AS labeled_positive,
   round(true_positives / nullif(true_positives + false_positives, 0), 10) AS precision, round(true_positives / nullif(true_positives + false_negatives, 0), 10) AS recall,
   round(2 * true_positives / nullif(2 * true_positives + false_positives + false_negatives, 0), 10) AS f1 FROM (SELECT 'obligation' AS family, {SCORE.format(v='value')},
