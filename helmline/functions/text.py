@@ -128,6 +128,33 @@ def quoted_chars(c: Column) -> Column:
     return F.when(c.contains("`") | c.contains(">"), full).otherwise(F.lit(0))
 
 
+def emitted(items: Column, init: Column, step, item: str) -> Column:
+    """What a walk over an array emits: `step(acc, x)` appends to the field `out` (entries of type `item`) of its state.
+
+    An append copies the array it appends to. The walk therefore goes in blocks of the square root of the array's
+    length, each with an `out` of its own, so that a text of very many spans costs little more per span than a short one.
+    """
+    none = F.array().cast(f"array<{item}>")
+
+    def block(acc, part):
+        return F.struct(
+            F.aggregate(part, acc["last"].withField("out", none), step).alias("last"),
+            F.concat(acc["done"], F.array(acc["last"]["out"])).alias("done"),
+        )
+
+    def walk(xs):
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), size)
+        start = F.struct(init.alias("last"), F.array().cast(f"array<array<{item}>>").alias("done"))
+        return F.aggregate(
+            F.transform(starts, lambda i: F.slice(xs, i, size)), start, block,
+            lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]["out"]))),
+        )
+
+    # The array around the items binds them once; every block would evaluate them anew otherwise.
+    return F.transform(F.array(items), walk)[0]
+
+
 def sentences(c: Column) -> Column:
     """Spans that tile the text: array<struct<pos,start,end,chars,text,contained>>.
 
@@ -139,10 +166,10 @@ def sentences(c: Column) -> Column:
         F.regexp_extract_all(c, F.lit(_SENTENCE), F.lit(0)),
         lambda s: F.struct(s.alias("raw"), trim(s).alias("head")),
     )
-    item_type = "array<struct<pos:int,start:int,end:int,chars:int,text:string,contained:boolean>>"
+    item = "struct<pos:int,start:int,end:int,chars:int,text:string,contained:boolean>"
     init = F.struct(
-        F.lit(0).alias("at"), F.lit(True).alias("bol"), F.lit(False).alias("fence"),
-        F.lit(False).alias("inside"), F.array().cast(item_type).alias("out"),
+        F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(True).alias("bol"), F.lit(False).alias("fence"),
+        F.lit(False).alias("inside"), F.array().cast(f"array<{item}>").alias("out"),
     )
 
     def step(acc, s):
@@ -154,15 +181,15 @@ def sentences(c: Column) -> Column:
         ).otherwise(acc["inside"])
         end = acc["at"] + F.octet_length(raw)
         item = F.struct(
-            F.size(acc["out"]).alias("pos"), acc["at"].alias("start"), end.alias("end"),
+            acc["n"].alias("pos"), acc["at"].alias("start"), end.alias("end"),
             F.length(raw).alias("chars"), head.alias("text"), inside.alias("contained"),
         )
         return F.struct(
-            end.alias("at"), raw.endswith("\n").alias("bol"), fence.alias("fence"),
+            (acc["n"] + 1).alias("n"), end.alias("at"), raw.endswith("\n").alias("bol"), fence.alias("fence"),
             inside.alias("inside"), F.concat(acc["out"], F.array(item)).alias("out"),
         )
 
-    return F.aggregate(spans, init, step, lambda acc: acc["out"])
+    return emitted(spans, init, step, item)
 
 
 def first_sentence(c: Column) -> Column:

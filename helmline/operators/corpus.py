@@ -92,14 +92,14 @@ def newest(sessions: DataFrame, per_project: int = 3, limit: int = 15) -> DataFr
 
 
 def content_hash(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Order-stable content hash per key: hash of each row, then of the sorted row hashes by block.
+    """Content hash per key, of one form at every size: it tells changed, moved, lost and added rows.
 
-    Rows are hashed where they are; only digests are ordered, block by block, then over blocks.
+    Each row is hashed with its place; the digests are folded lane by lane with exclusive or, which needs no order
+    and is combined before the shuffle, so a key may have any number of rows. A null text counts as an empty one.
     """
-    d = lines.select(key, F.col(order).alias("o"), F.sha2(F.col(text), 256).alias("h"))
-    blocks = d.groupBy(key, F.floor(F.col("o") / 4096).alias("b")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))),
-                                        lambda x: x["h"]), ""), 256).alias("h"))
-    return blocks.groupBy(key).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))),
-                                        lambda x: x["h"]), ""), 256).alias("sha256"))
+    h = F.sha2(F.concat(F.col(order).cast("string"), F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))), 256)
+    lanes = [f"lane{i}" for i in range(4)]
+    d = lines.select(key, h.alias("h")).select(
+        key, *[F.conv(F.substring("h", 16 * i + 1, 15), 16, 10).cast("long").alias(n) for i, n in enumerate(lanes)])
+    folded = d.groupBy(key).agg(F.count("*").alias("n"), *[F.bit_xor(n).alias(n) for n in lanes])
+    return folded.select(key, F.sha2(F.concat_ws(":", "n", *lanes), 256).alias("sha256"))

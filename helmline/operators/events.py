@@ -23,7 +23,7 @@ FILES = {
                 "metrics_computed", "state_at_observation_stop"),
 }
 
-SCHEMA = ("stream_id", "seq", "emit_rank", "sub", "epoch", "kind", "class", "payload")
+SCHEMA = ("stream_id", "seq", "emit_rank", "sub", "item", "epoch", "kind", "class", "payload")
 
 
 def file_for(kind: Column) -> Column:
@@ -43,17 +43,17 @@ def event_id(stream, seq, kind, ordinal, version=VERSION) -> Column:
 
 
 def event_log(a) -> DataFrame:
-    """All events of an analysis. `emit_rank` and `sub` give the order inside a record."""
+    """All events of an analysis. `emit_rank`, `sub` and `item` give the order inside a record."""
     c, js = F.col, lambda *cols: F.to_json(F.struct(*cols))
     rec, turns, snaps = a.records, a.turns, a.snapshots
     op, said = [d.withColumn("e", c("epoch_before")) for d in (turns, a.sentences)]
 
-    def made(df, rank, kind, cls, payload, sub=F.lit(0), epoch="e"):
+    def made(df, rank, kind, cls, payload, sub=F.lit(0), epoch="e", item=F.lit(0)):
         kind = F.lit(kind) if isinstance(kind, str) else kind
         rank = F.lit(rank) if isinstance(rank, int) else rank
         return df.select(
             "stream_id", c("seq").cast("long").alias("seq"), rank.alias("emit_rank"),
-            sub.cast("long").alias("sub"), c(epoch).cast("long").alias("epoch"), kind.alias("kind"),
+            sub.cast("long").alias("sub"), item.cast("long").alias("item"), c(epoch).cast("long").alias("epoch"), kind.alias("kind"),
             F.lit(cls).alias("class"), payload.alias("payload"))
 
     observed = ("turn_id", "speaker", "speaker_class", "ts", "bytes", "chars", "words", "lines",
@@ -89,7 +89,7 @@ def event_log(a) -> DataFrame:
              js("repair_id", "status", "reason", "depth", "target_type", "target_key", "structural",
                 "chars", "records", "pollution_status", "agent_turn", "cycle_records",
                 "target_repaired", "cycle_expansions", "immediate_correction"),
-             sub=c("stretch") * 1000000 + c("ord")),
+             sub=c("stretch"), item=c("ord")),
         made(a.pointers.where("settled_turn is not null").withColumn("turn_index", c("settled_turn"))
              .drop("seq").withColumnRenamed("epoch_before", "e0")
              .join(at_turn, ["stream_id", "turn_index"]).withColumn("seq", c("at_seq")),
@@ -125,7 +125,7 @@ def with_ids(events: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("stream_id", "seq", "kind").orderBy("emit_rank", "sub", "payload")
+    w = Window.partitionBy("stream_id", "seq", "kind").orderBy("emit_rank", "sub", "item", "payload")
     d = events.withColumn("ordinal", F.row_number().over(w) - 1)
     return d.withColumn("id", event_id(F.col("stream_id"), F.col("seq"), F.col("kind"), F.col("ordinal")))
 
@@ -153,7 +153,7 @@ def read_events(spark: SparkSession, root: str, kind: str | None = None) -> Data
 
 def current_objects(events: DataFrame, id_col: str) -> DataFrame:
     """Last event per object: its current state."""
-    at = F.struct("seq", "emit_rank", "sub")
+    at = F.struct("seq", "emit_rank", "sub", "item")
     cols = [c for c in events.columns if c not in ("stream_id", id_col)]
     return events.groupBy("stream_id", id_col).agg(
         F.max_by(F.struct(*cols), at).alias("last")).select("stream_id", id_col, "last.*")

@@ -208,10 +208,10 @@ CTES = {
     CASE WHEN doc_id % 26 = 0 THEN '' ELSE 'why' END AS note, doc_id * 2 + (labeler = 'b')::INT AS li, doc_id
   FROM (SELECT doc_id, quality = 1 AS v, 'a' AS labeler FROM labels UNION ALL SELECT doc_id, toxic = 0, 'b' FROM labels)"""),
     "prd": ([], """
-  SELECT 's' || (doc_id % 7) AS session, 'd' || doc_id AS record, 'obligation' AS family, doc_id % 2 AS start_b,
-    doc_id % 5 * 3 + 2 * (doc_id % 4) - 2 AS end_b, CASE WHEN n_chars % 2 = 0 THEN 'directive' ELSE 'description' END AS value,
+  SELECT 's' || (doc_id % 7) AS session, 'd' || doc_id AS record, 'obligation' AS family, doc_id % 2 + beyond AS start_b,
+    doc_id % 5 * 3 + 2 * (doc_id % 4) - 2 + 2 * beyond AS end_b, CASE WHEN n_chars % 2 = 0 THEN 'directive' ELSE 'description' END AS value,
     CASE WHEN n_chars > 900 THEN 'directive' ELSE 'description' END AS value2, doc_id AS pi
-  FROM documents WHERE doc_id % 3 <> 0"""),
+  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 1000 ELSE 0 END AS beyond FROM documents)"""),
     "met": (["lbl", "prd"], """
   SELECT l.session, l.record, l.label, p.value, p.value2, p.pi,
     CASE WHEN l.end_b <= l.start_b OR p.end_b <= p.start_b THEN 1 ELSE least(l.end_b, p.end_b) - greatest(l.start_b, p.start_b) END AS overlap
@@ -531,8 +531,9 @@ SELECT stream_id, seq, CASE WHEN n = 1 THEN j ELSE '' END AS job_id, CASE n WHEN
     AND c.status = 'completed' AND c.classifier = 'model' AND c.classifier_hash = 'h1' GROUP BY 1, 2, 3)""", "compl")
     o["j07_alignment"] = q("SELECT session, record, label, value, overlap FROM pairs", "pairs")
     o["j08_dedupe"] = "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0')"
-    o["j09_prior_split"] = f"""WITH dealt AS ({CTES['dealt'][1].format(where='doc_id % 6 <> 0')})
-SELECT id, project, CASE WHEN doc_id % 8 = 0 THEN 'dev' WHEN doc_id % 4 = 0 THEN 'holdout' ELSE {_DEAL} END AS split FROM dealt
+    renamed = "CASE WHEN doc_id % 6 = 0 THEN 'xd' ELSE 'd' END || doc_id"
+    o["j09_prior_split"] = f"""WITH dealt AS ({CTES['dealt'][1].format(where='true').replace("'d' || doc_id", renamed)})
+SELECT id, project, CASE WHEN doc_id % 6 = 0 THEN {_DEAL} WHEN doc_id % 8 = 0 THEN 'dev' WHEN doc_id % 4 = 0 THEN 'holdout' ELSE {_DEAL} END AS split FROM dealt
 UNION ALL SELECT 'd' || doc_id, source, CASE WHEN doc_id % 8 = 0 THEN 'dev' ELSE 'holdout' END FROM documents WHERE doc_id % 12 = 0"""
     o["j10_pointer_outcomes"] = q("SELECT stream_id, seq, ptype AS pointer_type, outcome, evidence, settled_turn FROM outcomes", "outcomes")
     o["j11_verified_repairs"] = q(f"""WITH n AS (SELECT stream_id, turn_index, regexp_extract_all(text, {pat('pointer_file')}) AS paths FROM corr WHERE marker IS NOT NULL)
@@ -576,7 +577,9 @@ SELECT 'obligation' AS family, 'a' AS labeler_a, 'b' AS labeler_b, u AS units, r
     o["a16_coverage"] = q("SELECT 'obligation' AS family, (SELECT count(*) FROM prd) AS predicted, count(*) AS labeled, count(*) FILTER (label = 'unlabelable') AS unlabelable FROM lbl", "lbl", "prd")
     o["a17_consequences"] = q(f"SELECT family, round(predicted_positive / nullif(labeled_positive, 0), 10) AS inventory_ratio, missed_by_build AS unmarked_misses FROM ({sc})", "pairs")
     o["a18_degenerate_pass"] = q("""SELECT 'obligation' AS family, labeler || (li % 40) AS labeler, count(*) AS units FROM lbl WHERE label <> 'unlabelable' GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT label) = 1""", "lbl")
-    o["a20_content_hash"] = """SELECT id, sha256(h) AS sha256 FROM (SELECT conv_id::VARCHAR AS id, sha256(string_agg(sha256(text), '' ORDER BY turn)) AS h FROM conversations GROUP BY 1)"""
+    lanes = [f"bit_xor(('0x' || substr(h, {16 * i + 1}, 15))::BIGINT)" for i in range(4)]
+    o["a20_content_hash"] = f"""SELECT id, sha256(count(*) || ':' || {" || ':' || ".join(lanes)}) AS sha256
+FROM (SELECT conv_id::VARCHAR AS id, sha256(turn || chr(0) || coalesce(text, '')) AS h FROM conversations) GROUP BY 1"""
     o["l01_top_inflation"] = q("""SELECT stream_id, seq, round(chars / 100.0, 10) AS inflation, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chars DESC, seq) AS r FROM turns WHERE seq % 3 > 0) WHERE r <= 3""", "turns")
     o["l02_newest_sessions"] = """SELECT id, root FROM (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS root, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR) AS n FROM events)
 WHERE n <= 3 ORDER BY ts DESC, id LIMIT 15"""

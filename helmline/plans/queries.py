@@ -136,14 +136,14 @@ class Corpus:
 
     @cached_property
     def prediction_table(self):
-        """Predictions with shifted spans for two thirds of the documents."""
+        """Predictions with shifted spans; those of a third of the documents lie beyond any label."""
         c = F.col
-        d = self.table("documents").where(c("doc_id") % 3 != 0)
+        d = self.table("documents").withColumn("beyond", F.when(c("doc_id") % 3 == 0, 1000).otherwise(0).cast("long"))
         return d.select(
             F.concat(F.lit("s"), (c("doc_id") % 7).cast("string")).alias("session"),
             F.concat(F.lit("d"), c("doc_id").cast("string")).alias("record"),
-            F.lit("obligation").alias("family"), (c("doc_id") % 2).cast("long").alias("start"),
-            (c("doc_id") % 5 * 3 + 2 * (c("doc_id") % 4) - 2).cast("long").alias("end"),
+            F.lit("obligation").alias("family"), ((c("doc_id") % 2).cast("long") + c("beyond")).alias("start"),
+            ((c("doc_id") % 5 * 3 + 2 * (c("doc_id") % 4) - 2).cast("long") + 2 * c("beyond")).alias("end"),
             F.when(c("n_chars") % 2 == 0, "directive").otherwise("description").alias("value"),
             c("doc_id").alias("pi"),
             F.create_map(
@@ -717,7 +717,8 @@ def _(k):
     d = _sessions(k)
     prior = d.where("doc_id % 4 = 0").select("id", "project", F.when(F.col("doc_id") % 8 == 0, "dev").otherwise(
         "holdout").alias("split"))
-    return C.assign_split(d.where("doc_id % 6 <> 0").select("id", "project"), prior)
+    renamed = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id"))
+    return C.assign_split(d.select(renamed.alias("id"), "project"), prior)
 
 
 @query("j10_pointer_outcomes", shaped=True)
@@ -733,8 +734,8 @@ def _(k):
 @query("j12_broken_seals")
 def _(k):
     d = k.table("documents")
-    files = d.where("doc_id % 9 <> 0").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
-                                              F.sha2("text", 256).alias("sha256"))
+    moved = F.when(F.col("doc_id") % 9 == 0, "moved-d").otherwise("d")
+    files = d.select("doc_id", F.concat(moved, F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("sha256"))
     sealed = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.sha2(F.when(
         F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
     return C.broken_seals(sealed, files)
@@ -781,7 +782,7 @@ def _(k):
 def _(k):
     e = k.table("events").select(
         F.lit("all").alias("stream_id"), F.col("user_id").cast("string").alias("object_id"),
-        F.col("event_id").alias("seq"), F.lit(0).alias("emit_rank"), F.lit(0).alias("sub"), "event_type", "value")
+        F.col("event_id").alias("seq"), F.lit(0).alias("emit_rank"), F.lit(0).alias("sub"), F.lit(0).alias("item"), "event_type", "value")
     return EV.current_objects(e, "object_id").select("object_id", "seq", "event_type", "value")
 
 
@@ -1066,7 +1067,7 @@ def _(k):
 @query("u02_event_log", shaped=True)
 def _(k):
     d = EV.with_ids(EV.event_log(k.a))
-    return d.select("id", "stream_id", "seq", "epoch", "emit_rank", "sub", "kind", "class")
+    return d.select("id", "stream_id", "seq", "epoch", "emit_rank", "sub", "item", "kind", "class")
 
 
 @query("u03_predictions", shaped=True)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helmline.functions.ordered import RECORD_BLOCK, Run, block_of, running
+from helmline.functions.text import emitted
+
 
 def lines_with_offsets(files: DataFrame) -> DataFrame:
     """`path, value` (whole text) to non-blank lines with ordinal, byte offset and SHA-256.
@@ -12,8 +15,8 @@ def lines_with_offsets(files: DataFrame) -> DataFrame:
     A trailing carriage return is not part of a line. Offsets are sums inside the row that holds the
     file, so the lines need no shuffle.
     """
-    item = "array<struct<pos:int,offset:bigint,line:string>>"
-    init = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("n"), F.array().cast(item).alias("out"))
+    item = "struct<pos:int,offset:bigint,line:string>"
+    init = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("n"), F.array().cast(f"array<{item}>").alias("out"))
 
     def step(acc, ln):
         line = F.regexp_replace(ln, r"\r+\z", "")
@@ -24,7 +27,7 @@ def lines_with_offsets(files: DataFrame) -> DataFrame:
             (acc["n"] + keep.cast("int")).alias("n"),
             F.when(keep, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(F.split("value", "\n", -1), init, step, lambda acc: acc["out"])
+    walked = emitted(F.split("value", "\n", -1), init, step, item)
     d = files.select("path", F.explode(walked).alias("x")).select("path", "x.*")
     return d.withColumn("record_sha256", F.sha2("line", 256))
 
@@ -34,11 +37,13 @@ def mark_failed(calls: DataFrame, results: DataFrame) -> DataFrame:
 
     A call id that is used again belongs to the latest call before the result.
     """
-    bad = results.where("is_error and call_id <> ''").select("path", "call_id", F.col("pos").alias("at"))
-    hit = (
-        calls.select("path", "call_id", "pos").join(bad, ["path", "call_id"])
-        .where("pos < at").groupBy("path", "call_id", "at").agg(F.max("pos").alias("pos"))
-        .select("path", "call_id", "pos").distinct().withColumn("failed", F.lit(True)))
+    bad = results.where("is_error and call_id <> ''").select("path", "call_id", "pos", F.lit(0).alias("made"))
+    # An error at the place of a call comes first: only calls before it count.
+    both = bad.unionByName(calls.select("path", "call_id", "pos", F.lit(1).alias("made")))
+    latest = running(both, ["path", "call_id"], ["pos", "made"], block_of(F.col("pos"), RECORD_BLOCK), {
+        "call": Run("last", F.when(F.col("made") == 1, F.col("pos")))})
+    hit = latest.where("made = 0 and call is not null").select(
+        "path", "call_id", F.col("call").alias("pos")).distinct().withColumn("failed", F.lit(True))
     return calls.join(hit, ["path", "call_id", "pos"], "left").withColumn(
         "failed", F.coalesce("failed", F.lit(False)))
 
