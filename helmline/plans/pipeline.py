@@ -64,9 +64,24 @@ def turn_table(sequenced: DataFrame, config=CONFIG) -> DataFrame:
     })
 
 
+#: Settings of the session: how streams are computed, and the rows of one block.
+STREAMS, RECORD_ROWS, TURN_ROWS = "spark.helmline.streams", "spark.helmline.block.records", "spark.helmline.block.turns"
+
+
 def fitting_layout(features: DataFrame) -> Layout:
-    """Plain windows when the longest stream is one block; the two-level forms otherwise."""
-    base = current()
+    """How ordered values are computed; the rows are the same either way.
+
+    `spark.helmline.streams` says `cut` (always by blocks), `whole` (plain windows) or `auto`, the default: by blocks
+    once some stream is longer than one. `spark.helmline.block.records` and `.turns` set the rows of a block.
+    """
+    base, conf = current(), features.sparkSession.conf
+    base = replace(base, record_rows=int(conf.get(RECORD_ROWS, str(base.record_rows))),
+                   turn_rows=int(conf.get(TURN_ROWS, str(base.turn_rows))))
+    how = conf.get(STREAMS, "auto")
+    if how not in ("auto", "cut", "whole"):
+        raise ValueError(f"{STREAMS}: {how!r} is none of auto, cut, whole")
+    if how != "auto":
+        return replace(base, split=how == "cut")
     longest = features.agg(F.max("seq")).first()[0] or 0
     return replace(base, split=base.split and longest >= min(base.record_rows, base.turn_rows))
 
