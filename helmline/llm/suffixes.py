@@ -3,10 +3,9 @@
 A string is 50 bytes of one document. Anchors (see anchors.py) leave the strings that can be in two documents, in runs
 around each anchor (a piece: at most 74 bytes). Pieces that are equal wherever their anchor stands are settled by
 their digests. Where an anchor stands in different pieces, the texts of these meet in one shard (each text once, with the
-smallest document it is in): parts of them get transforms of their own, and the transforms are merged: an interleave says
-which part each place of the merged transform comes from; each round orders it by one more character, by a stable count
-of the symbols; where two neighbours first differ is their common prefix. After 50 rounds the intervals of common prefix
-50 are the repeated strings. No suffix is sorted twice. Digests have 128 bits.
+smallest document it is in): parts of them get transforms of their own, and the transforms are merged: an interleave holds
+the rows of all parts in common order; each round orders it by one more character, by a stable count of the symbols, and
+leaves suffixes too short for that out. After 50 rounds the intervals of common prefix 50 are the repeated strings. No suffix is sorted twice. Digests have 128 bits.
 
 Null and empty texts have no bytes. Documents with the same id are the same document to the rule, and each row comes out
 on its own; a null id is after all others. Other columns are not read. An empty table gives an empty result.
@@ -43,9 +42,13 @@ def transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.where(order > 0, text[order - 1], 0).astype(np.uint8)
 
 
-def merge(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of transforms ordered by the first `depth` characters, and the common prefix of each place with the
-    one before it, at most depth. strings: the number of strings of each transform."""
+def rounds(transforms: list[np.ndarray], strings: list[int], depth: int, short: bool):
+    """The interleave of transforms, round by round: (strings' ends at its head, row among all transforms' rows, whether
+    the common prefix with the row before ended). strings: the number of strings of each transform.
+
+    A round puts one character before every suffix: a stable count of the symbols. short: keep suffixes that are shorter
+    than the rounds done; without, a suffix that starts its string has no longer one and leaves.
+    """
     sizes = [len(t) for t in transforms]
     symbols = np.concatenate(transforms)
     base = np.cumsum(sizes) - sizes
@@ -53,22 +56,33 @@ def merge(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple
     longer = np.empty(len(symbols), np.int32)
     for t, b, k in zip(transforms, base.tolist(), strings):
         longer[np.argsort(t, kind="stable")[k:] + b] = np.arange(b + k, b + len(t), dtype=np.int32)
-    source = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
-    ends = np.concatenate([np.arange(b, b + k, dtype=np.int32) for b, k in zip(base.tolist(), strings)])
-    n_ends = len(ends)
+    ends = np.zeros(0, np.int32)
+    if short:
+        ends = np.concatenate([np.arange(b, b + k, dtype=np.int32) for b, k in zip(base.tolist(), strings)])
     row = np.arange(len(symbols), dtype=np.int32)
     group = np.zeros(len(symbols), np.int32)
-    common = np.zeros(len(symbols), np.int32)
     for _ in range(depth):
         symbol = symbols[row]
-        order = np.argsort(symbol, kind="stable")[n_ends:]
-        # The ends of strings come first and stay in the order of their strings; all else follows by symbol.
-        s, g = symbol[order], group[order]
-        row = np.concatenate((ends, longer[row[order]]))
-        same = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
-        new = np.concatenate((np.ones(min(len(s), 1), bool), ~same))
-        group = np.concatenate((np.zeros(n_ends, np.int32), np.cumsum(new, dtype=np.int32)))
-        common[n_ends + 1:] += same
+        count = np.bincount(symbol, minlength=2)
+        order = np.argsort(symbol, kind="stable")[count[0]:]
+        row, group = longer[row[order]], group[order]
+        # A group begins where the symbol changes, or where the rest of the suffix was told apart before.
+        new = np.empty(len(row), bool)
+        np.not_equal(group[1:], group[:-1], out=new[1:])
+        new[(np.cumsum(count[1:]) - count[1:])[count[1:] > 0]] = True
+        group = np.cumsum(new, dtype=np.int32)
+        if short:
+            row, group = np.concatenate((ends, row)), np.concatenate((np.zeros(len(ends), np.int32), group))
+        yield len(ends), row, new
+
+
+def merge(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which transform each place of the merged one comes from, and the common prefix of each place with the one before
+    it, at most depth."""
+    source = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms])
+    row, common = np.arange(len(source)), np.zeros(len(source), np.int32)
+    for n_ends, row, new in rounds(transforms, strings, depth, short=True):
+        common[n_ends:] += ~new
     return source[row], common
 
 
@@ -89,20 +103,16 @@ def least_per_string(pieces: list[bytes], doc: np.ndarray, window: int = WINDOW)
         orders.append(order + base)
         transforms.append(bwt)
         base += len(text)
-    source, common = merge(transforms, [b - a for a, b in parts], window)
-    place = np.empty(base, np.int64)
-    place[np.argsort(source, kind="stable")] = np.concatenate(orders)
+    for _, row, new in rounds(transforms, [b - a for a, b in parts], window, short=False):
+        pass
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(sizes) - sizes
-    piece = np.repeat(np.arange(len(texts)), sizes)[place]
-    whole = place + window <= (starts + sizes - 1)[piece]
-    value = np.where(whole, doc[piece], A.NO_ID)
-    begins = np.flatnonzero(common < window)
-    if not len(begins) or begins[0]:
-        begins = np.concatenate(([0], begins))
-    least = np.minimum.reduceat(value, begins)
-    result = np.empty(base, np.int64)
-    result[place] = np.repeat(least, np.diff(np.concatenate((begins, [base]))))
+    result = np.full(base, A.NO_ID)
+    if len(row):
+        place = np.concatenate(orders)[row]
+        value = doc[np.repeat(np.arange(len(texts)), sizes)[place]]
+        begins = np.flatnonzero(new)
+        result[place] = np.repeat(np.minimum.reduceat(value, begins), np.diff(np.concatenate((begins, [len(row)]))))
     return [result[s:s + max(n - window, 0)] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
