@@ -2,8 +2,11 @@
 
 Each pass hashes a vector to the signs of its products with random directions and orders the vectors by these bits,
 first bit first. In that order every vector is compared, in double precision, with the ones in a bounded window before
-it; while a vector's comparison at the edge of its window still is a link, its window goes on, so groups of near copies
-larger than a window are compared whole. Pairs that are verified in any pass are links, and links make components.
+it. Pairs that are verified in any pass are links, and links make components.
+
+Groups that outgrow a window are completed exactly: the members of each component of more than half a window are cut
+into cells of bounded size, and every vector of the table that the angle bound of a cell does not rule out is compared
+with all members of the cell. So all links of such members are counted, to vectors outside the component too.
 
 Passes are dealt out by ranges of the order; the ends of a range are compared with the start of the next in a step of
 their own. Directions follow from the seed, so a lost task gives the same rows again. Equal vectors are collapsed first:
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from helmline.llm.common import staged
+from helmline.llm.common import shuffle_partitions, staged
 from helmline.llm.components import components
 
 LEAST_COSINE = 0.95
@@ -31,6 +34,9 @@ PASSES = 24
 BITS = 62
 WINDOW = 48
 SEED = 20
+#: Bytes of vectors in a cell, and cells that a block of vectors is held against at a time.
+CELL_BYTES = 4 << 20
+PACK = 256
 
 
 def directions(pass_no: int, dims: int) -> np.ndarray:
@@ -43,11 +49,12 @@ def order_keys(x: np.ndarray, pass_no: int) -> np.ndarray:
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def window_pairs(x: np.ndarray, window: int, least: float, split: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+def window_pairs(x: np.ndarray, window: int, least: float, split: int = 0,
+                 onward: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) with cosine of at least `least`; rows are unit vectors in order.
 
     All pairs up to `window` apart are compared, and farther ones as long as a row's pair at the last distance was a
-    link. With split, only pairs across that position count.
+    link, unless onward is off. With split, only pairs across that position count.
     """
     found, n = [], len(x)
     active = np.arange(n)
@@ -66,6 +73,8 @@ def window_pairs(x: np.ndarray, window: int, least: float, split: int = 0) -> li
         if near.any():
             found.append((i[near], i[near] + off))
         if off >= window:
+            if not onward:
+                break
             active = i[near]
     return found
 
@@ -87,7 +96,8 @@ def links(classes: DataFrame, dims: int, passes: int, window: int, least: float)
                     ["pass", "key", "cid", "vec"])
 
     keyed = staged(classes.mapInArrow(project, "pass int, key bigint, cid bigint, vec binary"))
-    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # A range holds many windows on average, so that no window reaches over a whole range.
+    parts = max(min(shuffle_partitions(classes.sparkSession), keyed.count() // (16 * window)), 1)
     ordered = keyed.repartitionByRange(parts, "pass", "key", "cid").sortWithinPartitions("pass", "key", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +114,7 @@ def links(classes: DataFrame, dims: int, passes: int, window: int, least: float)
         for start, stop in zip(bounds, bounds[1:]):
             x = _vectors(rows["vec"].slice(start, stop - start).combine_chunks())
             ids = rows["cid"].to_numpy()[start:stop]
-            for i, j in window_pairs(x, window, least):
+            for i, j in window_pairs(x, window, least, onward=False):
                 a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
                 n = len(a)
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +139,7 @@ def links(classes: DataFrame, dims: int, passes: int, window: int, least: float)
         out = []
         if 0 < split < rows.num_rows:
             x, ids = _vectors(rows["vec"].combine_chunks()), rows["a"].to_numpy()
-            out = [(ids[i], ids[j]) for i, j in window_pairs(x, window, least, split)]
+            out = [(ids[i], ids[j]) for i, j in window_pairs(x, window, least, split, onward=False)]
         i = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in out)])
         j = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in out)])
         return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j)})
@@ -139,6 +149,82 @@ def links(classes: DataFrame, dims: int, passes: int, window: int, least: float)
     return found.where("kind = 0").select("a", "b").union(borders).distinct()
 
 
+def completed(held: DataFrame, dims: int, least: float, rows: int) -> DataFrame:
+    """(cid, linked, other): links of the members of open components to all vectors of held, in parts to be added up.
+
+    held: (cid, vec, key, copies, own): own is the open component of a vector, or null; key are its bits in the first
+    pass. linked counts copies; other is a linked member of another component than that of cid, or null. A cell has
+    about `rows` vectors at most.
+    """
+    sizes = held.where("own is not null").groupBy("own").count().select(F.col("own").alias("of"), F.col("count").alias("size"))
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / rows))).cast("int")
+    members = held.where("own is not null").join(sizes, F.col("own") == F.col("of")).withColumn(
+        "prefix", F.floor(F.col("key") / F.pow(F.lit(2.0), BITS - depth)).cast("bigint"))
+    counts = members.groupBy("own", "prefix").count().select(
+        F.col("own").alias("of_own"), F.col("prefix").alias("of_prefix"), F.ceil(F.col("count") / rows).alias("salts"))
+    members = members.join(counts, (F.col("own") == F.col("of_own")) & (F.col("prefix") == F.col("of_prefix"))).select(
+        F.xxhash64("own", "prefix", F.pmod(F.xxhash64("cid"), "salts")).alias("cell"), "cid", "vec", "copies", "own")
+    members = staged(members)
+    reach = float(np.arccos(least)) + 1e-6
+
+    def shape(rows_of: pa.Table) -> pa.Table:
+        """Centre of a cell and the least cosine to it of a vector that can be linked to a member."""
+        x = _vectors(rows_of["vec"].combine_chunks())
+        c = x.sum(0)
+        c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+        widest = float(np.arccos(np.clip((x @ c).min(), -1, 1))) + reach
+        low = float(np.cos(widest)) if widest < np.pi else -2.0
+        return pa.table({"cell": rows_of["cell"].slice(0, 1), "centre": pa.array([c.astype("<f8").tobytes()], pa.binary()), "low": [low]})
+
+    pivots = staged(members.groupBy("cell").applyInArrow(shape, "cell bigint, centre binary, low double"))
+    packs, blocks = -(-pivots.count() // PACK), -(-held.count() // rows)
+    held = held.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
+    spread = pivots.select("*", F.pmod(F.xxhash64("cell"), F.lit(packs)).cast("int").alias("pack")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = held.select("block", "cid", "vec", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"))
+
+    def candidates(vectors: pa.Table, cells: pa.Table) -> pa.Table:
+        """The vectors of a block that may be linked to a member of a cell."""
+        if not vectors.num_rows or not cells.num_rows:
+            return pa.table({"cell": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "cid": pa.array([], pa.int64())})
+        x, c = _vectors(vectors["vec"].combine_chunks()), _vectors(cells["centre"].combine_chunks())
+        i, k = np.nonzero(x @ c.T >= cells["low"].to_numpy())
+        return pa.table({"cell": cells["cell"].to_numpy()[k], "block": np.full(len(i), vectors["block"][0].as_py(), np.int32),
+                         "cid": vectors["cid"].to_numpy()[i]})
+
+    near = staged(asked.groupBy("block", "pack").cogroup(spread.groupBy("block", "pack")).applyInArrow(
+        candidates, "cell bigint, block int, cid bigint"))
+    met = near.select(F.col("cell").alias("met"), F.col("block").alias("met_block")).distinct()
+    left = near.join(held.select(F.col("cid").alias("held_id"), "vec", "copies", "own"), F.col("cid") == F.col("held_id"))
+    left = left.select(F.col("cell").alias("met"), F.col("block").alias("met_block"), "cid", "vec", "copies", "own")
+    right = met.join(members, F.col("met") == F.col("cell"))
+
+    def compare(vectors: pa.Table, cell: pa.Table) -> pa.Table:
+        x, y = _vectors(vectors["vec"].combine_chunks()), _vectors(cell["vec"].combine_chunks())
+        ids, member_ids = vectors["cid"].to_numpy(), cell["cid"].to_numpy()
+        weights, member_weights = vectors["copies"].to_numpy().astype(float), cell["copies"].to_numpy().astype(float)
+        home, here = vectors["own"].to_pylist(), cell["own"][0].as_py()
+        alone = np.array([h is None for h in home])
+        foreign = np.array([h != here for h in home])
+        linked, other = np.zeros(len(x)), np.full(len(x), -1)
+        back = np.zeros(len(y))
+        for at in range(0, len(x), 512):
+            part = slice(at, at + 512)
+            hit = (x[part] @ y.T >= least) & (ids[part, None] != member_ids)
+            linked[part] = hit @ member_weights
+            back += (weights[part] * alone[part]) @ hit
+            other[part] = np.where(hit.any(1), hit.argmax(1), -1)
+        some, backs = np.flatnonzero(linked), np.flatnonzero(back)
+        named = foreign[some]
+        return pa.table({
+            "cid": np.concatenate((ids[some], member_ids[backs])),
+            "linked": np.concatenate((linked[some], back[backs])).astype(np.int64),
+            "other": pa.concat_arrays([pa.array(member_ids[other[some]], pa.int64(), mask=~named), pa.nulls(len(backs), pa.int64())])})
+
+    return left.groupBy("met", "met_block").cogroup(right.groupBy("met", "met_block")).applyInArrow(
+        compare, "cid bigint, linked bigint, other bigint")
+
+
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = LEAST_COSINE,
                     passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; see the module for rows that link with nothing."""
@@ -159,14 +245,26 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([r.tobytes() for r in x], pa.binary())], ["cid", "vec"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cid"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(order_keys(x, 0)), batch.column("copies")],
+                ["cid", "vec", "key", "copies"])
 
-    packed = classes.select("cid", "v").mapInArrow(pack, "cid bigint, vec binary")
-    pairs = staged(links(packed, dims, passes, window, least))
-    ends = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-    copies = classes.select(F.col("cid").alias("other"), "copies")
-    degree = ends.select("e.a", "e.b").join(copies, F.col("b") == F.col("other")).groupBy("a").agg(F.sum("copies").alias("linked"))
+    packed = staged(classes.select("cid", "v", "copies").mapInArrow(pack, "cid bigint, vec binary, key bigint, copies bigint"))
+    pairs = staged(links(packed.select("cid", "vec"), dims, passes, window, least))
     found = components(pairs)
+    large = found.groupBy("component").count().where(F.col("count") > window // 2).select(F.col("component").alias("own"))
+    held = staged(packed.join(found.join(large, F.col("component") == F.col("own")).select("node", "own"), F.col("cid") == F.col("node"), "left").select(
+        "cid", "vec", "key", "copies", "own"))
+    ends = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    copies = held.where("own is null").select(F.col("cid").alias("other"), "copies")
+    parts = ends.select("e.a", "e.b").join(copies, F.col("b") == F.col("other")).select("a", F.col("copies").alias("n"))
+    if held.where("own is not null").limit(1).count():
+        more = staged(completed(held, dims, least, max(CELL_BYTES // (8 * dims), 256)))
+        parts = parts.union(more.select("cid", "linked"))
+        across = more.where("other is not null").select("cid", "other")
+        if across.limit(1).count():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
+    degree = parts.groupBy("a").agg(F.sum("n").alias("linked"))
     named = classes.join(degree, F.col("cid") == F.col("a"), "left").join(found, F.col("cid") == F.col("node"), "left").select(
         "v", "least", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "cid").alias("component"))
     named = staged(named)

@@ -36,3 +36,24 @@ def test_against_all_pairs(spark):
 def test_window_goes_on_in_a_run():
     x = np.tile([1.0, 0.0], (40, 1))
     assert sum(len(i) for i, _ in neighbours.window_pairs(x, 4, 0.95)) == 40 * 39 // 2
+
+
+def test_group_around_the_bound_whole(spark):
+    """A group far larger than a window with cosines on both sides of the bound loses no link, at any partition count."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    centre /= np.linalg.norm(centre)
+    x = np.concatenate([centre + rng.standard_normal((2500, 16)) * 0.056, rng.standard_normal((500, 16))])
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    expected = (y @ y.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    before, cell = spark.conf.get("spark.sql.shuffle.partitions"), neighbours.CELL_BYTES
+    try:
+        neighbours.CELL_BYTES = 600 * 16 * 8
+        for parts in ("2", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+            assert [got[i] for i in range(2500)] == expected[:2500].tolist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        neighbours.CELL_BYTES = cell
