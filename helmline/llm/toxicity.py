@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over words and their characters.
 
-A word enters as the embedding of its hash next to the mean embedding of its character n-grams. Overlapping windows of
-words run through one recurrent layer in each direction; attention pools the states of a window into one logit. The
+A word enters as the embedding of its hash next to the mean embedding of its character n-grams; a word of more than PIECE
+bytes enters as overlapping pieces, each a word of its own, so texts without spaces are read to their end. Windows of
+words, each half over the one before, run through one recurrent layer in each direction; attention pools the states of a window into one logit. The
 score of a text is that of its most toxic window. Everything is numpy; training sees documents as bags of windows: after
 two rounds in which every window carries its document's label, only the most toxic windows of a document are learned.
 
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from helmline.llm.common import small_batches
 
 SAMPLE = 1200
-LENGTH, STRIDE = 32, 24
+LENGTH, STRIDE = 32, 16
+PIECE, PIECE_STEP = 64, 48
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 EMBED, HIDDEN, ATTEND = 8, 8, 8
 GRAMS = (3, 4, 5)
@@ -53,7 +55,7 @@ class Words:
 
 
 def words_of(texts: list[bytes | None]) -> Words:
-    """The words of the texts in order, ASCII lower case, without punctuation at their ends."""
+    """The words of the texts in order, long ones in pieces, ASCII lower case, without punctuation at their ends."""
     raw = b"".join((t or b"") + b"\n" for t in texts).lower()
     data = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
@@ -61,23 +63,27 @@ def words_of(texts: list[bytes | None]) -> Words:
     change = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     text_no = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    per_text = np.bincount(text_no, minlength=len(texts))
     punctuation = np.zeros(256, bool)
     punctuation[list(b".,;:!?()[]\"'")] = True
     for _ in range(3):
         ends = ends - ((ends - starts > 1) & punctuation[data[ends - 1]])
         starts = starts + ((ends - starts > 1) & punctuation[data[starts]])
+    pieces = 1 + np.maximum(0, -(-(ends - starts - PIECE) // PIECE_STEP))
+    order = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(starts, pieces) + order * PIECE_STEP
+    ends = np.minimum(starts + PIECE, np.repeat(ends, pieces))
+    per_text = np.bincount(np.repeat(text_no, pieces), minlength=len(texts))
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(256, _MULTIPLY))))
+        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(PIECE, _MULTIPLY))))
         hashes = np.zeros(len(starts), np.uint64)
         lengths = ends - starts
-        for k in range(int(min(lengths.max(initial=0), 256))):
+        for k in range(int(lengths.max(initial=0))):
             on = np.flatnonzero(lengths > k)
             hashes[on] += (data[starts[on] + k].astype(np.uint64) + np.uint64(1)) * powers[k]
         hashes = _mixed(hashes + lengths.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
         own, first, of = np.unique(hashes, return_index=True, return_inverse=True)
         # Distinct words once more, each between two marks, for their n-grams.
-        begin, size = starts[first], np.minimum(lengths[first], 64)
+        begin, size = starts[first], lengths[first]
         total = size + 2
         at = np.cumsum(total) - total
         chars = np.full(int(total.sum()), 255, np.uint64)

@@ -63,3 +63,19 @@ def test_nulls_and_empty_tables(spark):
     assert toxicity.keep_clean(docs, None).count() == 4
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert toxicity.train(docs, labels) is None
+
+
+def test_long_words_are_read_to_their_end():
+    """What stands behind the first bytes of a text without spaces counts, and each passage of half a window is whole."""
+    filler = "这是一篇很长的普通文章" * 8
+    texts = [(filler + x + filler).encode() for x in ("平静的一天", "可恶的坏人")]
+    w = toxicity.words_of(texts)
+    assert w.per_text.min() > 8 and len(set(w.of[:w.per_text[0]])) != 1
+    assert set(w.of[:w.per_text[0]]) != set(w.of[w.per_text[0]:])
+    model = toxicity.fit(texts * 400, np.array([0, 1] * 400))
+    low, high = toxicity.scores(model, texts)
+    assert low < toxicity.THRESHOLD <= high
+    at, _ = toxicity.windows_of(toxicity.words_of([" ".join(f"w{i}" for i in range(200)).encode()]))
+    inside = [set(row.tolist()) for row in at]
+    order = toxicity.words_of([" ".join(f"w{i}" for i in range(200)).encode()]).of.tolist()
+    assert all(any(set(order[i:i + 16]) <= held for held in inside) for i in range(184))
