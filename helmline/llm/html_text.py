@@ -3,7 +3,9 @@
 Every visible text comes out, in document order. White space is collapsed outside preformatted text; blocks start on a
 line of their own, paragraphs and headings with an empty line around them; list items carry their mark and are indented
 by level; the cells of a table are aligned by column (columns wider than WIDEST are not padded). Nothing is taken from
-what a browser doesn't show: head, scripts, styles, templates, comments, hidden elements and form values.
+what a browser doesn't show: head, scripts, styles, templates, comments, hidden elements; and not form values (input,
+textarea, select). Formulas and the labels of inline drawings come out, their annotations, descriptions and definitions
+don't; labels, cells and the parts of a fraction are set apart by a space.
 
 Null and empty pages give an empty text; broken markup never fails: unknown closing tags are ignored, what is open at the
 end is closed. The work is linear and without recursion, so deep nesting is safe. Rows come out as they came in; other
@@ -27,8 +29,12 @@ WIDEST = 80
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas svg math "
+UNSEEN = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas "
                    "datalist select option optgroup textarea meta link base".split())
+#: Elements that are not shown inside svg and math, and those that stand apart there.
+FOREIGN = {"svg": frozenset("title desc defs metadata symbol clippath mask pattern marker".split()),
+           "math": frozenset("annotation annotation-xml".split())}
+APART = frozenset("text mtd mfrac".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                    "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section "
                    "summary table ul caption".split())
@@ -58,6 +64,9 @@ class Node:
     tag: str
     attributes: str = ""
     children: list = field(default_factory=list)
+    foreign: bool = False
+    unseen: bool = False
+    apart: bool = False
 
     def get(self, name: str) -> str | None:
         if name not in self.attributes.lower():
@@ -122,8 +131,12 @@ def tree(page: str) -> Node:
             stack.append(row)
             names["tr"] = names.get("tr", 0) + 1
         node = Node(tag, m[3])
+        if names.get("svg") or names.get("math"):
+            node.foreign = True
+            node.unseen = any(names.get(k) and tag in unseen for k, unseen in FOREIGN.items())
+            node.apart = tag in APART or stack[-1].tag == "mfrac"
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (node.foreign or tag in FOREIGN) and m[3].endswith("/"):
             continue
         if tag in RAW:
             end = lowered.find(f"</{tag}", at)
@@ -139,7 +152,9 @@ def tree(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.unseen:
+        return False
+    if node.foreign and (node.get("display") == "none" or node.get("visibility") in ("hidden", "collapse")):
         return False
     if node.tag == "input" or not node.attributes:
         return node.tag != "input"
@@ -235,6 +250,8 @@ def render(root: Node) -> str:
         if not leaving:
             if not visible(node):
                 continue
+            if node.apart:
+                flow.gap = True
             if tag == "br":
                 flow.line_end()
                 continue
@@ -258,6 +275,8 @@ def render(root: Node) -> str:
             work.append((node, True))
             work.extend((c, False) for c in reversed(node.children))
             continue
+        if node.apart:
+            flow.gap = True
         if tag == "table":
             done = rows.pop()[0]
             if text := _table([r for r in done if any(t for t, _ in r)]):

@@ -62,3 +62,18 @@ def test_rows(spark):
     assert sorted(map(str, html_text.extract(df).collect())) == sorted(
         ["Row(page_id=1, text='a')", "Row(page_id=None, text='')", "Row(page_id=1, text='a')", "Row(page_id=2, text='')"])
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+FOREIGN = [
+    ("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then", "If x=1 then"),
+    ("a <math><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation encoding=tex>no</annotation></math> b", "a 1 2 b"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>One</text><text>Two</text></svg> end",
+     "One Two end"),
+    ("<svg><title/><style/><text>yes</text><text display=none>no</text></svg><p>x", "yes\n\nx"),
+    ("<svg/>a<div>b</div>", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("page,text", FOREIGN)
+def test_formulas_and_drawings(page, text):
+    assert html_text.text_of(page) == text
