@@ -17,11 +17,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("first_id"), "left")
-    return named.where(F.col("first_id").isNotNull() | F.col("doc_id").isNull()).select(*COLUMNS)
+    """One row of each group of near copies: that with the smallest id, one without an id only if all are."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

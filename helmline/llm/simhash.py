@@ -79,9 +79,8 @@ def links(distinct: DataFrame) -> DataFrame:
     ).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint: 16 hex digits, component_id: smallest doc_id reachable by links), one row per row."""
-    docs = staged(fingerprints(df, doc_id, text))
+def _classes(docs: DataFrame) -> DataFrame:
+    """(class_fp, component, component_id) of each distinct fingerprint of docs (doc_id, fp)."""
     distinct = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(distinct))
     named = distinct.join(found, distinct.fp == found.node, "left").select(
@@ -90,7 +89,39 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     least = named.groupBy("component").agg(F.min("first").alias("component_id")).select(
         F.col("component").alias("key"), F.xxhash64("component").alias("key_hash"), "component_id")
     named = named.withColumn("hash", F.xxhash64("component"))
-    classes = named.join(least, (named.hash == least.key_hash) & (named.component == least.key)).select(
-        F.col("fp").alias("class_fp"), "component_id")
+    return named.join(least, (named.hash == least.key_hash) & (named.component == least.key)).select(
+        F.col("fp").alias("class_fp"), "component", "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of df for each component of near copies, with all its columns.
+
+    It is the row with the smallest id, nulls last; of several rows with that id, the one with the smallest hash.
+    """
+    columns = df.columns
+    own = staged(df.withColumn("_row", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 4 << 20):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            found = pa.array([fingerprint(x) for x in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("doc_id", "row", "mark")] + [found], ["doc_id", "row", "mark", "fp"])
+
+    docs = staged(own.select(
+        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col("_row").alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("mark"),
+        F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, row bigint, mark bigint, fp bigint"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row")
+    # The best row of each fingerprint first, so that a group of copies is one row when components meet.
+    best = staged(docs.groupBy("fp").agg(F.min(rank).alias("best")))
+    classes = _classes(docs.select("doc_id", "fp"))
+    chosen = staged(best.join(classes, best.fp == classes.class_fp).groupBy("component").agg(F.min("best").alias("best")).select(
+        F.col("best.row").alias("chosen")))
+    return own.join(chosen, own["_row"] == chosen["chosen"], "left_semi").select(*(F.col(f"`{c}`") for c in columns))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint: 16 hex digits, component_id: smallest doc_id reachable by links), one row per row."""
+    docs = staged(fingerprints(df, doc_id, text))
+    classes = _classes(docs)
     return docs.join(classes, docs.fp == classes.class_fp).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

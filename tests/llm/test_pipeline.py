@@ -56,3 +56,12 @@ def test_run_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, None, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r.round_trip for r in got)
+
+
+def test_one_row_of_each_group_of_copies(spark):
+    from tests.llm.helpers import documents
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = documents(spark, [(5, a), (5, a), (7, a), (None, a), (9, b), (7, b), (None, c), (None, c), (8, None), (8, "")])
+    kept = corpus_pipeline.near_copies_out(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(5, a), (7, b), (0, c), (8, "")])
