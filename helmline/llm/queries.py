@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from helmline.llm import bpe, html_text, mixing, neighbours, phrases, pii, quality, simhash, suffixes, toxicity
+from helmline.llm import (
+    bpe, exact, hard_negatives, html_text, mixing, neighbours, phrases, pii, quality, simhash, suffixes, toxicity, whitening)
 from helmline.llm.common import sha256_hex, table
 
 
@@ -79,6 +80,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_hex(pii.listed(F.filter("found", lambda s: s.base))).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"))
 
 
+def op11_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, against all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", hard_negatives.relabelled(F.col("label"), F.col("vec_id")))
+    return hard_negatives.mine(rows, F.pmod("id", F.lit(50)) == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_repeated_phrases": op2_repeated_phrases,
@@ -90,6 +108,35 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_vector_duplicates": op9_vector_duplicates,
     "op10_pii": op10_pii,
+    "op11_exact_groups": op11_exact_groups,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_exact_groups": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_hard_negatives": """
+        WITH sound AS (
+            SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        scored AS (
+            SELECT a.no AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, b.label = a.label AS same,
+                   list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM sound a JOIN sound b ON a.vec_id % 50 = 0 AND a.no <> b.no AND len(a.v) = len(b.v)),
+        positives AS (
+            SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM scored WHERE same),
+        negatives AS (
+            SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.id) AS rank
+            FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+             AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+            WHERE p.place <= 5)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM negatives WHERE rank <= 3""",
+}
