@@ -13,8 +13,7 @@ from helmline.llm.common import sha256_hex, table
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and the bytes they decode to, as digests."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"))
-    return bpe.decode(ids).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded").select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         sha256_hex(F.col("decoded")).alias("decoded_sha256"))

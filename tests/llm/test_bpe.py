@@ -2,6 +2,8 @@
 
 import base64
 import random
+import subprocess
+import sys
 import unicodedata
 
 import public_tokenizers
@@ -63,3 +65,32 @@ def test_clashing_columns_and_empty_table(spark):
     assert bpe.encode(df).columns == ["doc_id", "ids"]
     assert bpe.encode(df).first().ids
     assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+
+
+def test_long_texts_go_part_by_part(reference, monkeypatch):
+    """The ids do not depend on where texts, pieces or stores are cut."""
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("etaonishrdé") for _ in range(rng.randrange(1, 14))) for _ in range(3000))
+    many = [long, "short one", None, long[:500], "x" * 3000, "", long[1000:9000]]
+    want = [reference.encode_ordinary(t or "") for t in many]
+    for name, value in (("BATCH_BYTES", 700), ("MERGE_BYTES", 900), ("PART", 37), ("STORE_BYTES", 5000)):
+        monkeypatch.setattr(bpe, name, value)
+        own = bpe.Codec(bpe.RANKS, public_tokenizers.PATTERN)
+        assert [x.tolist() for x in own.encode(many)] == want and [x.tolist() for x in own.encode(many)] == want
+        assert own.held == sum(bpe.PIECE_BYTES + len(k) + len(v) for k, v in own.newer.items())
+
+
+def test_memory_of_a_worker():
+    """4 MB of words that no store has met stay below 200 MB, in a process of their own."""
+    code = """
+import random, resource
+from helmline.llm import bpe
+rng = random.Random(1)
+own = bpe.codec(bpe.RANKS, bpe.public_tokenizers.PATTERN)
+for _ in range(8):
+    text = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(5000)) for _ in range(10)]
+    own.encode(text)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    peak = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert peak < 330, peak
