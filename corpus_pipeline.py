@@ -34,8 +34,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    ids = bpe.encode(docs, keep=("doc_id", "lang", "source"), also_text=True)
-    return bpe.decode(ids).select(
+    ids = bpe.encode(docs, keep=("doc_id", "lang", "source"), also_text=True, decoded="decoded")
+    return ids.select(
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
