@@ -5,9 +5,13 @@ current share, margin after margin, until all three margins hold; only the table
 probability of a document is its cell's weight times one scale, at most 1; the scale makes the expected tokens a given
 share of all. A document is drawn by a hash of its id, so that a run can be repeated. Built-in functions only.
 
+Targets are shares by value for each margin; a margin without given targets takes its own shares to a power. How far the
+worst margin still is from its target after the last round comes out as `residual`: margins can contradict each other.
+
 Nulls in source or language are a value of their own (''). Null ids are drawn like id ''. Texts without words have no
-tokens: their weight counts nothing, and they are drawn like the rest of their cell. Repeated ids are drawn together.
-An empty table gives an empty result. The tables have no topics, so the form of the text stands in for one.
+tokens: their weight counts nothing, and they are drawn like the rest of their cell. Each row is drawn by the probability
+of its own cell; rows of one id in one cell are drawn together. An empty table gives an empty result. The tables have no
+topics, so the form of the text stands in for one.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ SHARE = 0.6
 SWEEPS = 3
 ROUNDS = 12
 CLOSE = 1e-6
+#: Cells up to which their probabilities are broadcast to the documents; beyond, they are dealt out by salt.
+BROADCAST_CELLS = 200_000
+SALTS = 64
 
 
 def topic(words: Column, text: Column) -> Column:
@@ -35,13 +42,19 @@ def count_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("bigint")
 
 
-def described(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """(doc_id, source, lang, n_tokens, topic) of each document; a token is a word."""
+def features(doc_id: str, text: str, source: str, lang: str) -> dict[str, Column]:
+    """source, lang, n_tokens and topic of a document; a token is a word."""
     held = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = df.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"),
-        count_words(held).alias("n_tokens"), held.alias("held"))
+    words = count_words(held)
+    return {"doc_id": F.col(f"`{doc_id}`"), "source": F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")),
+            "lang": F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")), "n_tokens": words, "topic": topic(words, held)}
+
+
+def described(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, n_tokens, topic) of each document."""
+    found = features(doc_id, text, source, lang)
+    rows = df.select(found["doc_id"].alias("doc_id"), found["source"].alias("source"), found["lang"].alias("lang"),
+                     found["n_tokens"].alias("n_tokens"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("held"))
     return rows.select("doc_id", "source", "lang", "n_tokens", topic(F.col("n_tokens"), F.col("held")).alias("topic"))
 
 
@@ -56,16 +69,17 @@ def powered(cells: DataFrame, powers: dict[str, float] = POWERS) -> dict[str, Da
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with `weight`, so that weighted token shares are the targets.
+    """cells (source, lang, topic, tokens) with `weight`, so that weighted token shares are the targets, and `residual`.
 
-    A value without a target keeps its share of weight among the rest. Stops when no margin is off by more than CLOSE.
+    A value without a target keeps its share of weight among the rest. Stops when no margin is off by more than CLOSE;
+    residual is how far the worst one was off in the last round.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     held = cells.withColumn("weight", F.lit(1.0))
     for m in MARGINS:
         t = targets[m].select(F.col("value").alias(m), F.col("target").alias(f"target_{m}"))
         held = held.join(t, m, "left")
-    held = staged(held)
+    held, worst = staged(held), 0.0
     for _ in range(rounds):
         off = F.lit(0.0)
         for sweep in range(sweeps):
@@ -83,7 +97,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         held = held.drop("off")
         if worst is None or worst < CLOSE:
             break
-    return held.select(*MARGINS, "tokens", "weight")
+    return held.select(*MARGINS, "tokens", "weight", F.lit(float(worst or 0.0)).alias("residual"))
 
 
 def scale(cells: DataFrame, share: float) -> float:
@@ -110,22 +124,47 @@ def draw(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
-def probabilities(df: DataFrame, share: float = SHARE, powers: dict[str, float] = POWERS, **columns: str) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of each document."""
+def chances(cells: DataFrame, share: float, powers: dict[str, float], targets: dict[str, DataFrame] | None) -> DataFrame:
+    """(source, lang, topic, weight, probability, residual) of each cell."""
+    raked = rake(cells, powered(cells, powers) | (targets or {}))
+    return raked.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * scale(raked, share)).alias("probability"), "residual")
+
+
+def with_chance(rows: DataFrame, chance: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their cell's row in chance; by: the names of the margins in rows."""
+    held = chance.select(*(F.col(m).alias(f"cell_{m}") for m in MARGINS), *(F.col(c) for c in chance.columns if c not in MARGINS))
+    same = [rows[b].eqNullSafe(held[f"cell_{m}"]) for b, m in zip(by, MARGINS)]
+    gone = [f"cell_{m}" for m in MARGINS]
+    if chance.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        return rows.join(F.broadcast(held), same).drop(*gone)
+    held = held.withColumn("cell_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("row_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    met = [salted[b].eqNullSafe(held[f"cell_{m}"]) for b, m in zip(by, MARGINS)]
+    return salted.join(held, [*met, salted["row_salt"] == held["cell_salt"]]).drop(*gone, "cell_salt", "row_salt")
+
+
+def probabilities(df: DataFrame, share: float = SHARE, powers: dict[str, float] = POWERS,
+                  targets: dict[str, DataFrame] | None = None, **columns: str) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, weight, probability, residual, kept) of each document.
+
+    targets: (value, target) tables of shares that sum to 1, by margin.
+    """
     docs = staged(described(df, **columns))
     cells = staged(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    raked = rake(cells, powered(cells, powers))
-    c = scale(raked, share)
-    chance = raked.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * c).alias("probability"))
-    return docs.join(chance, list(MARGINS)).select(
+    return with_chance(docs, staged(chances(cells, share, powers, targets)), list(MARGINS)).select(
         "doc_id", *MARGINS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"),
-        (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))
-
-
-def sample(df: DataFrame, share: float = SHARE, powers: dict[str, float] = POWERS, doc_id: str = "doc_id",
-           text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """The documents that are drawn, with all their columns."""
-    kept = probabilities(df, share, powers, doc_id=doc_id, text=text, source=source, lang=lang)
-    kept = kept.where("kept").select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("mix_id"), F.col("doc_id").isNull().alias("mix_null"))
-    rows = df.withColumn("mix_key", F.coalesce(F.col(f"`{doc_id}`"), F.lit(-1))).withColumn("mix_no", F.col(f"`{doc_id}`").isNull())
-    return rows.join(kept, (rows.mix_key == kept.mix_id) & (rows.mix_no == kept.mix_null), "left_semi").drop("mix_key", "mix_no")
+        F.round("residual", 9).alias("residual"), (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))
+
+
+def sample(df: DataFrame, share: float = SHARE, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None,
+           doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """The documents that are drawn, with all their columns: the rows that probabilities() keeps. Texts aren't shuffled
+    while the cells are few."""
+    found = described(df, doc_id, text, source, lang)
+    cells = staged(found.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    chance = staged(chances(cells, share, powers, targets)).select(*MARGINS, "probability")
+    # The documents keep their own names in a struct, so that nothing of theirs clashes with what is added.
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"), *(
+        c.alias(f"its_{k}") for k, c in features(doc_id, text, source, lang).items() if k != "n_tokens"))
+    drawn = with_chance(own, chance, [f"its_{m}" for m in MARGINS]).where(draw(F.col("its_doc_id")) < F.col("probability"))
+    return drawn.select("own.*")

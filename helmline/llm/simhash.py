@@ -99,7 +99,8 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     It is the row with the smallest id, nulls last; of several rows with that id, the one with the smallest hash.
     """
     columns = df.columns
-    own = staged(df.withColumn("_row", F.monotonically_increasing_id()))
+    number = next(n for n in (f"row_{k}" for k in range(len(columns) + 1)) if n not in columns)
+    own = staged(df.withColumn(number, F.monotonically_increasing_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
@@ -108,7 +109,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("doc_id", "row", "mark")] + [found], ["doc_id", "row", "mark", "fp"])
 
     docs = staged(own.select(
-        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col("_row").alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("mark"),
+        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(number).alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("mark"),
         F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, row bigint, mark bigint, fp bigint"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row")
     # The best row of each fingerprint first, so that a group of copies is one row when components meet.
@@ -116,7 +117,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     classes = _classes(docs.select("doc_id", "fp"))
     chosen = staged(best.join(classes, best.fp == classes.class_fp).groupBy("component").agg(F.min("best").alias("best")).select(
         F.col("best.row").alias("chosen")))
-    return own.join(chosen, own["_row"] == chosen["chosen"], "left_semi").select(*(F.col(f"`{c}`") for c in columns))
+    return own.join(chosen, own[number] == chosen["chosen"], "left_semi").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
