@@ -8,7 +8,7 @@ its own order. A merge costs the same however long a piece is, which keeps very
 
 A worker's memory is bounded in bytes: texts come in batches of about 1 MB, a longer text is split part by part, pieces
 are merged 256 KB at a time (one longer piece is merged by itself), and the ids of pieces met lately are kept in two
-stores of 16 MB. Encoding and decoding again is one step, so that a task has one worker and one vocabulary.
+stores of 48 MB. Encoding and decoding again is one step, so that a task has one worker and one vocabulary.
 
 Empty and null texts have no ids. Repeated rows are encoded one by one; ids may be null or repeated. Other
 columns are not read. A null or empty id list decodes to an empty byte string; an unknown id is an error.
@@ -36,7 +36,7 @@ SPACES = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u300
 #: Texts without other characters than these are split alike by the standard module, which is faster.
 UNUSUAL = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba]")
 #: Bytes of a worker's newer store of pieces (and of its older one), and what a piece takes besides its letters and ids.
-STORE_BYTES, PIECE_BYTES = 16 << 20, 220
+STORE_BYTES, PIECE_BYTES = 48 << 20, 220
 #: Bytes of text that a batch holds, of pieces that are merged together, and pieces of a long text that are split off at once.
 BATCH_BYTES, MERGE_BYTES, PART = 1 << 20, 256 << 10, 100_000
 

@@ -81,7 +81,7 @@ def test_long_texts_go_part_by_part(reference, monkeypatch):
 
 
 def test_memory_of_a_worker():
-    """4 MB of words that no store has met stay below 200 MB, in a process of their own."""
+    """4 MB of words that no store has met stay below a stated peak, in a process of their own."""
     code = """
 import random, resource
 from helmline.llm import bpe
