@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ def merge(pieces: list[bytes], ranks: dict[bytes, int], longest: int, two: np.nd
     pairs[:-1] = np.where(np.frombuffer(first, np.uint8)[1:n], -1, two[letters[:-1] << 8 | letters[1:]])
     pair = pairs.tolist()
     queue, rank_of = RankQueue(), ranks.get
-    push = queue.push
+    push, buckets = queue.push, queue.buckets
     order = np.argsort(pairs, kind="stable")
     held, at = np.unique(pairs[order], return_index=True)
     for rank, positions in zip(held.tolist(), np.split(order, at[1:])):
@@ -114,13 +115,19 @@ def merge(pieces: list[bytes], ranks: dict[bytes, int], longest: int, two: np.nd
                 stop = after[end]
                 pair[i] = new = rank_of(buf[i:stop], -1) if stop - i <= longest else -1
                 if new >= 0:
-                    push(new, i)
+                    if (bucket := buckets.get(new)) is not None:
+                        bucket.append(i)
+                    else:
+                        push(new, i)
                     back = new <= rank
             if not first[i]:
                 h = before[i]
                 pair[h] = new = rank_of(buf[h:end], -1) if end - h <= longest else -1
                 if new >= 0:
-                    push(new, h)
+                    if (bucket := buckets.get(new)) is not None:
+                        bucket.append(h)
+                    else:
+                        push(new, h)
                     back = back or new <= rank
             if back:
                 for later in positions[k + 1:]:
@@ -234,8 +241,11 @@ class Codec:
         return out
 
     def _merge(self, pieces: list[str], raws: list[bytes]) -> None:
+        newer, held = self.newer, 0
         for piece, ids in zip(pieces, merge(raws, self.ranks, self.longest, self.two) if raws else ()):
-            self._keep(piece, np.array(ids, "<i4").tobytes())
+            newer[piece] = data = pack(f"<{len(ids)}i", *ids)
+            held += PIECE_BYTES + len(piece) + len(data)
+        self.held += held
 
     def _keep(self, piece: str, ids: bytes) -> None:
         self.newer[piece] = ids
