@@ -42,8 +42,27 @@ def event_id(stream, seq, kind, ordinal, version=VERSION) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 32)
 
 
-def event_log(a) -> DataFrame:
-    """All events of an analysis. `emit_rank`, `sub` and `item` give the order inside a record."""
+def marked_unknown(a) -> DataFrame:
+    """(stream_id, epoch_before, marked): keys of the requirements that stand when an epoch ends, in order of statement.
+
+    A requirement's last state is found by its own key first; only what is listed in one event meets in one row.
+    """
+    own = ["stream_id", "epoch_before", "identity"]
+    left = a.ledger.groupBy(*own).agg(F.max_by("end_state", "turn_index").alias("s")).where("s = 'unresolved'")
+    told = left.join(a.introductions.select(*own, "turn_index", "pos", "key"), own)
+    return told.groupBy("stream_id", "epoch_before").agg(
+        F.array_sort(F.collect_list(F.struct("turn_index", "pos", "key"))).alias("xs")).select(
+        "stream_id", "epoch_before", F.transform("xs", lambda x: x["key"]).alias("marked"))
+
+
+def event_log(a, completions: DataFrame | None = None, failures: DataFrame | None = None, stops: DataFrame | None = None) -> DataFrame:
+    """All events of an analysis. `emit_rank`, `sub` and `item` give the order inside a record.
+
+    What an analysis doesn't know by itself comes in tables: completions of deferred classifications (stream_id,
+    source_seq, job_id, status, classifier, classifier_version, input_hash), failures of a classifier on a record
+    (stream_id, seq, classifier, version, error), and streams whose observation stopped (stream_id, reason). A stop is
+    two events after the last record; neither draws a conclusion.
+    """
     c, js = F.col, lambda *cols: F.to_json(F.struct(*cols))
     rec, turns, snaps = a.records, a.turns, a.snapshots
     op, said = [d.withColumn("e", c("epoch_before")) for d in (turns, a.sentences)]
@@ -71,6 +90,9 @@ def event_log(a) -> DataFrame:
         made(op.where("is_correction"), 21, "correction_candidate", "classified",
              js("correction_marker", "target_type", "target_key", "target_paths",
                 c("last_agent.seq").alias("trigger_agent_turn"))),
+        made(states.where("kind = 'repair_opened' and structural"), 28, "correction_candidate", "classified",
+             js(F.lit("structural").alias("correction_marker"), "target_type", "target_key", "target_paths", "trigger_agent_turn",
+                c("first_correction_turn").alias("source_turn"))),
         made(op.where("stop"), 22, "stop_candidate", "classified", js(F.lit("stop").alias("marker"))),
         made(op.where("reset"), 23, "reset_candidate", "classified",
              js(F.lit("reset").alias("marker"))),
@@ -103,8 +125,9 @@ def event_log(a) -> DataFrame:
              js("key", "kind", "repeat_count"), sub=c("pos"), epoch="epoch_before"),
         made(a.violations, 38, "obligation_violated", "derived", js("identity"),
              epoch="epoch_before"),
-        made(op.where("reset"), 50, "epoch_advanced", "derived",
-             js(c("epoch_before").alias("from"), c("epoch").alias("to"))),
+        made(op.where("reset").join(marked_unknown(a), ["stream_id", "epoch_before"], "left"), 50, "epoch_advanced", "derived",
+             js(c("epoch_before").alias("from"), c("epoch").alias("to"),
+                F.coalesce("marked", F.array().cast("array<string>")).alias("obligations_marked_unknown"))),
         made(M.regime_changes(snaps).join(
             snaps.select("stream_id", "turn_index", "epoch"), ["stream_id", "turn_index"]),
              51, "regime_changed", "derived", js("from_regime", "to_regime", "rule"), epoch="epoch"),
@@ -115,6 +138,28 @@ def event_log(a) -> DataFrame:
              sub=F.array_position(F.array(*[F.lit(m) for m in M.TREND_METRICS]), c("metric")),
              epoch="epoch"),
     ]
+    at = rec.select("stream_id", c("seq").cast("long").alias("seq"), "epoch_before")
+    if failures is not None:
+        failed = failures.select("stream_id", c("seq").cast("long").alias("seq"), "classifier", "version", "error").join(at, ["stream_id", "seq"])
+        parts.append(made(failed, 19, "classifier_failed", "classified", js("classifier", "version", "error"), epoch="epoch_before"))
+    if completions is not None:
+        done = completions.withColumn("seq", c("source_seq").cast("long")).join(at, ["stream_id", "seq"])
+        parts.append(made(done, 60, "semantic_classification_completed", "classified",
+                          js("job_id", "status", "classifier", "classifier_version", "input_hash"), epoch="epoch_before"))
+    if stops is not None:
+        from helmline.operators.summary import state_at_stop
+
+        last = rec.groupBy("stream_id").agg(F.max_by(F.struct("seq", "epoch"), "seq").alias("l")).select(
+            "stream_id", c("l.seq").alias("seq"), c("l.epoch").alias("e"))
+        ended = last.join(stops.select("stream_id", "reason"), "stream_id")
+        # A stream without operator turns has nothing open.
+        held = ended.join(state_at_stop(a).drop("epoch"), "stream_id", "left")
+        none = lambda n: F.coalesce(c(n), F.lit(0)).alias(n)
+        parts += [
+            made(ended, 70, "observation_stopped", "observed", js("reason", c("seq").alias("last_record"))),
+            made(held, 71, "state_at_observation_stop", "derived",
+                 js(c("e").alias("epoch"), "open_repair", none("pending_pointers"), none("repairs_awaiting_durability"),
+                    none("unresolved_obligation_candidates")))]
     return reduce(DataFrame.unionByName, parts)
 
 
