@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helmline.operators import measures as M
+from helmline.plans.stage import stage
 
 VERSION = 1
 
@@ -81,8 +82,11 @@ def event_log(a, completions: DataFrame | None = None, failures: DataFrame | Non
     at_turn = turns.select("stream_id", "turn_index", c("seq").alias("at_seq"),
                            c("epoch_before").alias("e"))
     both = turns.select("stream_id", "turn_index", "epoch_before", c("epoch").alias("epoch_after"))
-    states = a.episodes.where("out = 'event'").join(both, ["stream_id", "turn_index"]).withColumn(
-        "e", F.when(c("phase") <= 5, c("epoch_before")).otherwise(c("epoch_after")))
+    # Derived tables without texts are written first, so that the union stays a row of scans and plain joins.
+    states = stage(a.episodes.where("out = 'event'").join(both, ["stream_id", "turn_index"]).withColumn(
+        "e", F.when(c("phase") <= 5, c("epoch_before")).otherwise(c("epoch_after"))), "states-by-epoch")
+    unknown, changes, crossings = (stage(d, n) for d, n in (
+        (marked_unknown(a), "unknown"), (M.regime_changes(snaps), "regimes"), (a.trends, "trends")))
     phase = c("phase")
     parts = [
         made(rec, 10, "record_observed", "observed", js(*observed), epoch="epoch_before"),
@@ -125,14 +129,14 @@ def event_log(a, completions: DataFrame | None = None, failures: DataFrame | Non
              js("key", "kind", "repeat_count"), sub=c("pos"), epoch="epoch_before"),
         made(a.violations, 38, "obligation_violated", "derived", js("identity"),
              epoch="epoch_before"),
-        made(op.where("reset").join(marked_unknown(a), ["stream_id", "epoch_before"], "left"), 50, "epoch_advanced", "derived",
+        made(op.where("reset").join(unknown, ["stream_id", "epoch_before"], "left"), 50, "epoch_advanced", "derived",
              js(c("epoch_before").alias("from"), c("epoch").alias("to"),
                 F.coalesce("marked", F.array().cast("array<string>")).alias("obligations_marked_unknown"))),
-        made(M.regime_changes(snaps).join(
+        made(changes.join(
             snaps.select("stream_id", "turn_index", "epoch"), ["stream_id", "turn_index"]),
              51, "regime_changed", "derived", js("from_regime", "to_regime", "rule"), epoch="epoch"),
         made(snaps, 52, "metrics_computed", "derived", js(*snaps.columns), epoch="epoch"),
-        made(a.trends.join(snaps.select("stream_id", "turn_index", "epoch"),
+        made(crossings.join(snaps.select("stream_id", "turn_index", "epoch"),
                            ["stream_id", "turn_index"]), 53, "trend_emerged", "derived",
              js("metric", "from_band", "to_band", "direction", "turns_held"),
              sub=F.array_position(F.array(*[F.lit(m) for m in M.TREND_METRICS]), c("metric")),
@@ -153,7 +157,7 @@ def event_log(a, completions: DataFrame | None = None, failures: DataFrame | Non
             "stream_id", c("l.seq").alias("seq"), c("l.epoch").alias("e"))
         ended = last.join(stops.select("stream_id", "reason"), "stream_id")
         # A stream without operator turns has nothing open.
-        held = ended.join(state_at_stop(a).drop("epoch"), "stream_id", "left")
+        held = ended.join(stage(state_at_stop(a).drop("epoch"), "inventory"), "stream_id", "left")
         none = lambda n: F.coalesce(c(n), F.lit(0)).alias(n)
         parts += [
             made(ended, 70, "observation_stopped", "observed", js("reason", c("seq").alias("last_record"))),
