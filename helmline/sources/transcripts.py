@@ -405,13 +405,17 @@ STORE_TOOLS = {
 
 def read_opencode(session: DataFrame, message: DataFrame, part: DataFrame) -> DataFrame:
     """Exported tables: session(id, directory), message(id, session_id, time_created, data),
-    part(message_id, session_id, time_created, data). One record per message that says or does something.
+    part([id,] message_id, session_id, time_created, data). One record per message that says or does something.
+
+    Parts of equal time are ordered by their id, or by their data where ids weren't exported. A session that wasn't exported
+    has no directory; its messages are kept.
     """
     empty, no = F.lit(""), F.lit(False)
     p = F.from_json("data", "type string, text string, synthetic boolean, tool string, state struct<status:string,"
                     "input:struct<filePath:string,path:string,command:string>,metadata:struct<exit:int>>")
     parts = part.withColumn("p", p).join(
-        session.select(F.col("id").alias("session_id"), F.coalesce("directory", empty).alias("root")), "session_id")
+        session.select(F.col("id").alias("session_id"), F.coalesce("directory", empty).alias("root")), "session_id", "left").withColumn("root", F.coalesce("root", empty))
+    tie = F.col("id" if "id" in part.columns else "data")
     x = F.col("p")
     text = F.when((x["type"] == "text") & ~F.coalesce(x["synthetic"], no) & (T.trim(F.coalesce(x["text"], empty)) != ""),
                   x["text"])
@@ -421,8 +425,8 @@ def read_opencode(session: DataFrame, message: DataFrame, part: DataFrame) -> Da
         _targets(F.col("root"), x["state"]["input"]["filePath"], x["state"]["input"]["path"]),
         F.array_compact(F.array(F.nullif(x["state"]["input"]["command"], empty))),
         F.coalesce(x["state"]["status"] == "error", no) | exit_bad))
-    # Parts of one message are a message; they are ordered by time, then as exported.
-    body = parts.select("message_id", "time_created", F.monotonically_increasing_id().alias("i"),
+    # Parts of one message are a message.
+    body = parts.select("message_id", "time_created", tie.alias("i"),
                         text.alias("t"), act.alias("a")).where("t is not null or a is not null").groupBy(
         "message_id").agg(F.array_sort(F.collect_list(F.struct("time_created", "i", "t", "a"))).alias("xs"))
     body = body.select(

@@ -169,3 +169,14 @@ def test_split_files_keep_order_and_offsets(spark, tmp_path):
     raw = (tmp_path / "big.jsonl").read_bytes()
     assert all(raw[x["source"]["offset"] - 1:][:1] in (b"\n", b"") or x["seq"] == 1 for x in r)
     assert [x["source"]["offset"] for x in r] == sorted(x["source"]["offset"] for x in r)
+
+
+def test_opencode_ties_and_unknown_sessions(spark):
+    """Parts of equal time follow their ids in whatever order they were exported; a missing session loses nothing."""
+    text = lambda t: json.dumps(dict(type="text", text=t))
+    s = spark.createDataFrame([("other", "/r")], "id string, directory string")
+    m = spark.createDataFrame([("m1", "gone", 5, json.dumps(dict(role="user")))], "id string, session_id string, time_created long, data string")
+    rows = [("p3", "m1", "gone", 7, text("third")), ("p1", "m1", "gone", 7, text("first")), ("p2", "m1", "gone", 7, text("second"))]
+    for order in (rows, rows[::-1]):
+        p = spark.createDataFrame(order, "id string, message_id string, session_id string, time_created long, data string")
+        assert [(r.stream_id, r.text) for r in TR.read_opencode(s, m, p.repartition(3)).collect()] == [("gone", "first\nsecond\nthird")]
