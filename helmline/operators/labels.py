@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helmline.operators.spans import matches
+from helmline.plans.stage import stage
+
 # The label vocabulary of each family and its positive classes.
 UNLABELABLE = "unlabelable"
 VOCABULARY = {
@@ -50,44 +51,12 @@ def is_positive(family, value):
     return F.coalesce(out, F.lit(False))
 
 
-_PAIR = (
-    "session string, record string, family string, label string, labeler string, label_start long, "
-    "label_end long, value string, pred_start long, pred_end long, overlap long"
-)
-_PAIR_SCHEMA = pa.schema([
-    (p.split()[0], pa.string() if p.split()[1] == "string" else pa.int64()) for p in _PAIR.split(", ")
-])
-
-
-def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Best overlap first inside one record; each label and each prediction is used once.
-
-    Candidates arrive best first, so two sets of used units are all the state.
-    """
-    used_l, used_p = set(), set()
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            if r["li"] not in used_l and r["pi"] not in used_p:
-                used_l.add(r["li"])
-                used_p.add(r["pi"])
-                rows.append({k: r[k] for k in (*UNIT, "li", "pi", "overlap")})
-        yield pa.RecordBatch.from_pylist(rows, schema=_MATCH_SCHEMA)
-
-
-_MATCH = "session string, record string, family string, li long, pi long, overlap long"
-_MATCH_SCHEMA = pa.schema([
-    (p.split()[0], pa.string() if p.split()[1] == "string" else pa.int64()) for p in _MATCH.split(", ")
-])
-
-
 def align(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     """Match labels and predictions by maximal byte overlap; both unmatched remainders are kept.
 
     `labels`: session, record, family, start, end, label, labeler, li (position, breaks ties).
     `predictions`: session, record, family, start, end, value, pi. A label with an empty session
-    counts in every session. Whole-record units overlap by one byte.
-    Units alone on their side of an overlap need no order and skip the fold.
+    counts in every session. Whole-record units overlap by one byte. See `operators.spans`.
     """
     any_session = labels.where("session = ''").drop("session")
     spread = any_session.join(
@@ -97,19 +66,10 @@ def align(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     ).withColumn("session", F.lit(""))
     ls = labels.where("session <> ''").unionByName(spread.select(*labels.columns)).unionByName(
         nowhere.select(*labels.columns))
-    l = ls.select(*UNIT, F.col("start").alias("ls"), F.col("end").alias("le"), "li")
-    p = predictions.select(*UNIT, F.col("start").alias("ps"), F.col("end").alias("pe"), "pi")
-    whole = (F.col("le") <= F.col("ls")) | (F.col("pe") <= F.col("ps"))
-    shared = F.least("le", "pe") - F.greatest("ls", "ps")
-    cand = l.join(p, UNIT).where(whole | (shared > 0)).select(
-        *UNIT, "li", "pi", F.when(whole, 1).otherwise(shared).cast("long").alias("overlap"), "ps")
-    lone_l = cand.groupBy(*UNIT, "li").agg(F.count("*").alias("nl"))
-    lone_p = cand.groupBy(*UNIT, "pi").agg(F.count("*").alias("np"))
-    cand = cand.join(lone_l, [*UNIT, "li"]).join(lone_p, [*UNIT, "pi"])
-    alone = cand.where("nl = 1 and np = 1").select(*UNIT, "li", "pi", "overlap")
-    rest = cand.where("nl > 1 or np > 1").repartition(*UNIT).sortWithinPartitions(
-        *UNIT, F.col("overlap").desc(), "ps", "li", "pi")
-    matched = alone.unionByName(rest.groupBy(*UNIT).applyInArrow(_greedy, _MATCH))
+    matched = stage(matches(
+        ls.select(*UNIT, "li", F.col("start").cast("long").alias("ls"), F.col("end").cast("long").alias("le")),
+        predictions.select(*UNIT, "pi", F.col("start").cast("long").alias("ps"), F.col("end").cast("long").alias("pe")),
+        UNIT), "matched")
     left = ls.join(matched, [*UNIT, "li"], "left")
     full = left.join(
         predictions.select(*UNIT, "pi", "value", F.col("start").alias("pred_start"),
