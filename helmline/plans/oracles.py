@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from helmline.functions.text import CLOSED_CLASS_WORDS, NEGATION_WORDS, PRE_SUBJECT_WORDS
 from helmline.lexicon import BASELINE_MARKERS, CASE_SENSITIVE_GROUPS
+from helmline.plans import formats
 from helmline.plans.transcripts import SEED_SQL
 
 SP = r"[\s\v\x{85}\p{Z}]"
@@ -405,7 +406,7 @@ WHERE j >= 0.8"""
 
 def oracle_sql() -> dict[str, str]:
     q = build
-    o = {}
+    o = dict(formats.EXPECTED)
     o["t04c_read_conversations"] = """SELECT 'conv-' || conv_id AS stream_id, 'seq-' || seq AS turn_id, seq, cls AS speaker_class, md5(text) AS text_md5
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'agent'
   WHEN 'system' THEN 'system' WHEN 'tool' THEN 'tool' ELSE 'unknown' END AS cls FROM conversations)"""

@@ -25,6 +25,7 @@ from helmline.operators import semantic as S
 from helmline.operators import summary as SU
 from helmline.operators import turns as W
 from helmline.operators import units as U
+from helmline.plans import formats
 from helmline.plans.pipeline import _analyze, fitting_layout, turn_table
 from helmline.plans.stage import stage
 from helmline.plans.transcripts import seeded
@@ -193,6 +194,16 @@ def query(name: str, shaped: bool = False):
 
 
 # ---- sources -----------------------------------------------------------------------------------
+def _reader(name):
+    @query(name)
+    def _(k):
+        return formats.records(k.spark, k.table("conversations"), name)
+
+
+for _name in formats.READERS:
+    _reader(_name)
+
+
 @query("t04c_read_conversations")
 def _(k):
     d = read_conversations(k.table("conversations"))

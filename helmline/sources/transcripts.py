@@ -106,7 +106,12 @@ def _verb(name: Column, table: dict) -> Column:
 
 # ---- neutral format -----------------------------------------------------------------------------
 def read_generic(spark: SparkSession, path: str) -> DataFrame:
-    d = parse(read_lines(spark, path), (
+    return decode_generic(read_lines(spark, path))
+
+
+def decode_generic(lines: DataFrame) -> DataFrame:
+    """Lines of the neutral format to records."""
+    d = parse(lines, (
         "stream_id string, turn_id string, seq bigint, timestamp string, speaker string, text string, "
         "reply_to string, sidechain boolean, root string, "
         f"actions {ACTIONS}"), "generic")
@@ -159,7 +164,12 @@ def _nested_text(v: Column) -> Column:
 
 
 def read_claude(spark: SparkSession, path: str) -> DataFrame:
-    d = parse(read_lines(spark, path), (
+    return decode_claude(read_lines(spark, path))
+
+
+def decode_claude(lines: DataFrame) -> DataFrame:
+    """Lines of the block format to records."""
+    d = parse(lines, (
         "type string, subtype string, uuid string, parentUuid string, sessionId string, cwd string, "
         "timestamp string, isSidechain boolean, isMeta boolean, message struct<role:string,content:variant>, "
         "content variant, toolUseResult variant, summary string, aiTitle string, isCompactSummary boolean, "
@@ -276,7 +286,12 @@ PART_TOOLS = {
 
 
 def read_qwen(spark: SparkSession, path: str) -> DataFrame:
-    d = parse(read_lines(spark, path), (
+    return decode_qwen(read_lines(spark, path))
+
+
+def decode_qwen(lines: DataFrame) -> DataFrame:
+    """Lines of the part format to records."""
+    d = parse(lines, (
         "type string, subtype string, uuid string, parentUuid string, sessionId string, cwd string, "
         "timestamp string, provenance string, isSidechain boolean, "
         "message struct<role:string,parts:array<struct<text:string,thought:boolean,"
@@ -339,10 +354,14 @@ def read_qwen(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- rollout format -----------------------------------------------------------------------------
 def read_codex(spark: SparkSession, path: str) -> DataFrame:
+    return decode_codex(read_lines(spark, path))
+
+
+def decode_codex(lines: DataFrame) -> DataFrame:
     """Only the event lane becomes records; lines that do not parse are left out."""
     item = ("struct<type:string,id:string,content:array<struct<type:string,text:string>>,command:array<string>,"
             "status:string,exit_code:int,changes:map<string,struct<type:string>>>")
-    d = parse(read_lines(spark, path), (
+    d = parse(lines, (
         "timestamp string, type string, payload struct<type:string,message:string,turn_id:string,reason:string,"
         "changes:map<string,struct<type:string>>,success:boolean,status:string,cwd:string,id:string,"
         f"item:{item}>"), "codex", strict=False)
