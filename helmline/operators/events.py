@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -179,25 +181,124 @@ def with_ids(events: DataFrame) -> DataFrame:
     return d.withColumn("id", event_id(F.col("stream_id"), F.col("seq"), F.col("kind"), F.col("ordinal")))
 
 
-def write_events(events: DataFrame, root: str, force: bool = False) -> None:
-    """Append-only log, split by file and stream. A second write is refused unless forced."""
-    d = events.withColumn("file", file_for(F.col("kind")))
-    writer = d.write.partitionBy("file", "stream_id")
-    if force:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
-    else:
-        writer.mode("errorifexists").parquet(root)
+BUCKETS = 64
+#: Writes that stand side by side in a bucket; the next one folds them into its own.
+_SIDE_BY_SIDE = 16
+#: Records of one stream that a task writes; a longer stream is several files of its bucket.
+_STRETCH = 100_000
+_PLACE = ["stream_id", "seq", "emit_rank", "sub", "item"]
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _commits(spark: SparkSession, root: str) -> list:
+    """(version, write, buckets, replaced) of each complete manifest, oldest first. A manifest cut short doesn't parse and counts as none."""
+    fs, p = _files(spark, f"{root}/manifest")
+    if not fs.exists(p):
+        return []
+    d = spark.read.schema("version long, write string, buckets array<int>, replaced array<int>, complete boolean").json(f"{root}/manifest")
+    return d.where("complete").select("version", "write", "buckets", "replaced").orderBy("version").collect()
+
+
+def _live(commits: list) -> dict[int, list[str]]:
+    """The writes whose rows stand in each bucket: those since the last one that replaced it."""
+    live: dict[int, list[str]] = {}
+    for r in commits:
+        for b in r["buckets"]:
+            live[b] = [r["write"]] if b in r["replaced"] else [*live.get(b, []), r["write"]]
+    return live
+
+
+def _committed(spark: SparkSession, root: str, file: str | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """Rows of complete writes: a filter on partition columns, with at most `_SIDE_BY_SIDE` entries a bucket."""
+    live = _live(_commits(spark, root))
+    kept = [f"{w}/{b}" for b, writes in sorted(live.items()) for w in writes if buckets is None or b in buckets]
+    if not live:
+        return None
+    d = spark.read.parquet(f"{root}/data")
+    if file is not None:
+        d = d.where(F.col("file") == file)
+    return d.where(F.concat_ws("/", "write", F.col("bucket").cast("string")).isin(kept)).drop("write", "bucket")
+
+
+def _put(events: DataFrame, root: str, write: str, buckets: int) -> None:
+    d = events.withColumn("bucket", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)).cast("int"))
+    d = d.repartition("file", "bucket", F.floor(F.col("seq") / _STRETCH)).sortWithinPartitions("file", "bucket", *_PLACE)
+    d.write.mode("append").partitionBy("file", "bucket").parquet(f"{root}/data/write={write}")
+
+
+def write_events(events: DataFrame, root: str, force: bool = False, buckets: int = BUCKETS) -> None:
+    """Append-only log: a fixed number of buckets of streams a file, sorted by stream and place.
+
+    The rows of a write become readable at once, by one manifest that is created last and never replaced; a write that fails,
+    is killed or meets another writer's manifest leaves nothing readable. A stream that is in the log already is refused, and
+    with it the whole write. With force, its rows are replaced: buckets it touches are written anew with their other streams.
+    `buckets` is fixed by the first write and read from the log later. An empty write leaves the log as it is.
+    """
+    spark = events.sparkSession
+    # The next place is taken before the log is read, so that a writer who commits meanwhile makes this write fail. The place
+    # of a manifest that was cut short stays taken.
+    fs, p = _files(spark, f"{root}/manifest")
+    version = 1 + max((int(f.getPath().getName().split(".")[0]) for f in fs.listStatus(p)), default=-1) if fs.exists(p) else 0
+    commits = _commits(spark, root)
+    if commits:
+        fs, p = _files(spark, f"{root}/layout")
+        at = fs.open(p)
+        buckets = int(at.readLine())
+        at.close()
+    write = f"w{uuid.uuid4().hex}"
+    _put(events.withColumn("file", file_for(F.col("kind"))), root, write, buckets)
+    mine = f"{root}/data/write={write}"
+    written = spark.read.parquet(mine) if any(
+        f.isDirectory() for f in _files(spark, mine)[0].listStatus(_files(spark, mine)[1])) else None
+    if written is None:
+        return
+    touched = sorted(r[0] for r in written.select("bucket").distinct().collect())  # at most `buckets` numbers
+    live = _live(commits)
+    replaced = [b for b in touched if force or len(live.get(b, [])) >= _SIDE_BY_SIDE]
+    if commits:
+        held = _committed(spark, root, buckets=touched)
+        streams = stage(written.select(F.col("stream_id").alias("mine")).distinct(), "logged")
+        same = F.col("stream_id").eqNullSafe(F.col("mine"))
+        if not force:
+            again = held.join(streams, same, "left_semi").select("stream_id").first()
+            if again is not None:
+                fs, p = _files(spark, mine)
+                fs.delete(p, True)
+                raise ValueError(f"stream {again.stream_id} already exists in {root}")
+        if replaced:
+            _put(_committed(spark, root, buckets=replaced).join(streams, same, "left_anti"), root, write, buckets)
+    if not commits:
+        _create(spark, f"{root}/layout", str(buckets), keep=True)
+    _create(spark, f"{root}/manifest/{version:010d}.json", json.dumps(
+        {"version": version, "write": write, "buckets": touched, "replaced": replaced, "complete": True}))
+
+
+def _create(spark: SparkSession, path: str, text: str, keep: bool = False) -> None:
+    """A new file; one that exists is an error, or stays when `keep` is set."""
+    fs, p = _files(spark, path)
+    if keep and fs.exists(p):
+        return
+    out = fs.create(p, False)
+    out.write(bytearray(text + "\n", "utf-8"))
+    out.close()
 
 
 def read_events(spark: SparkSession, root: str, kind: str | None = None) -> DataFrame:
-    """Read back; naming a kind reads only the file that holds it."""
-    d = spark.read.parquet(root)
+    """Rows of complete writes; naming a kind reads only the file that holds it."""
     if kind is None:
-        return d
-    name = next((f for f, kinds in FILES.items() if kind in kinds), None) or (
-        "obligations" if kind.startswith("obligation_")
-        else "repairs" if kind.startswith("repair_") else "classifications")
-    return d.where((F.col("file") == name) & (F.col("kind") == kind))
+        name = None
+    else:
+        name = next((f for f, kinds in FILES.items() if kind in kinds), None) or (
+            "obligations" if kind.startswith("obligation_")
+            else "repairs" if kind.startswith("repair_") else "classifications")
+    d = _committed(spark, root, name)
+    if d is None:
+        raise ValueError(f"no complete write in {root}")
+    return d if kind is None else d.where(F.col("kind") == kind)
 
 
 def current_objects(events: DataFrame, id_col: str) -> DataFrame:

@@ -414,6 +414,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, C
   WHEN kind = 'metrics_computed' THEN 'metrics' WHEN starts_with(kind, 'obligation_') THEN 'obligations' ELSE 'repairs' END AS file, count(*) AS n
 FROM (SELECT CASE event_type WHEN 'click' THEN 'repair_opened' WHEN 'view' THEN 'repair_expansion_candidate' WHEN 'error' THEN 'obligation_repeated'
   WHEN 'purchase' THEN 'metrics_computed' ELSE 'record_observed' END AS kind FROM events) GROUP BY 1, 2"""
+    o["t06_event_store"] = """SELECT stream_id, seq, kind, CASE kind WHEN 'record_observed' THEN 'observations' WHEN 'repair_opened' THEN 'repairs'
+  WHEN 'obligation_introduced' THEN 'obligations' WHEN 'epoch_advanced' THEN 'metrics' ELSE 'classifications' END AS file, payload
+FROM (SELECT 'u' || user_id AS stream_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'repair_opened' WHEN 'view' THEN 'obligation_introduced'
+  WHEN 'error' THEN 'epoch_advanced' WHEN 'purchase' THEN 'stop_candidate' ELSE 'record_observed' END AS kind,
+  CASE WHEN user_id % 3 = 0 THEN upper(props) ELSE props END AS payload FROM events)"""
     o["t07_line_provenance"] = r"""SELECT path, "offset", sha256(line) AS record_sha256 FROM (
   SELECT path, regexp_replace(ln, '\r+$', '') AS line, coalesce(sum(strlen(ln) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
   FROM (SELECT doc_id::VARCHAR AS path, unnest(l) AS ln, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))

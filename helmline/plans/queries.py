@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,7 +28,7 @@ from helmline.operators import turns as W
 from helmline.operators import units as U
 from helmline.plans import formats
 from helmline.plans.pipeline import _analyze, fitting_layout, turn_table
-from helmline.plans.stage import stage
+from helmline.plans.stage import folder, stage
 from helmline.plans.transcripts import seeded
 from helmline.sources import linking
 from helmline.sources.records import read_conversations, write_targets
@@ -220,6 +221,23 @@ def _(k):
     return d.groupBy("kind", EV.file_for(F.col("kind")).alias("file")).agg(F.count("*").alias("n"))
 
 
+@query("t06_event_store")
+def _(k):
+    """The events table as a log: two writes of other streams, then a third of the streams replaced, read back."""
+    c = F.col
+    kind = F.when(c("event_type") == "click", "repair_opened").when(c("event_type") == "view", "obligation_introduced").when(
+        c("event_type") == "error", "epoch_advanced").when(c("event_type") == "purchase", "stop_candidate").otherwise("record_observed")
+    d = k.table("events").select(
+        F.concat(F.lit("u"), c("user_id").cast("string")).alias("stream_id"), big(c("event_id")).alias("seq"), F.lit(1).alias("emit_rank"),
+        F.lit(0).alias("sub"), F.lit("").alias("item"), F.lit(0).alias("epoch"), kind.alias("kind"), F.lit("observed").alias("class"),
+        c("props").alias("payload"), "user_id")
+    root = f"{folder(k.spark)}/helmline-log-{uuid.uuid4().hex}"
+    EV.write_events(d.where("user_id % 2 = 0 or user_id is null").drop("user_id"), root, buckets=8)
+    EV.write_events(d.where("user_id % 2 <> 0").drop("user_id"), root)
+    EV.write_events(d.where("user_id % 3 = 0").withColumn("payload", F.upper("payload")).drop("user_id"), root, force=True)
+    return EV.read_events(k.spark, root).select("stream_id", "seq", "kind", "file", "payload")
+
+
 @query("t07_line_provenance")
 def _(k):
     d = linking.lines_with_offsets(k.texts("documents").select(
