@@ -2,7 +2,8 @@
 
 Identity of a requirement is a pure key within (stream, epoch): its content key, or its normalized
 sentence when no content word is left. Occurrences therefore need no search. Only the claims of
-release sentences depend on order; they are a small fold over the pairs that pass the match test.
+release sentences that can mean several requirements depend on order; they are a small fold over the
+pairs that pass the match test, by connected requirements.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helmline.functions import text as T
-from helmline.functions.ordered import TURN_BLOCK, Run, block_of, running
+from helmline.functions.components import connected
+from helmline.functions.ordered import TURN_BLOCK, Run, block_of, current, running
 from helmline.lexicon import DEFAULT as LEXICON
+from helmline.plans.stage import stage
 
 EPOCH = ["stream_id", "epoch_before"]
 
@@ -108,7 +111,7 @@ CLAIMS = (
 
 
 def _claim_releases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One epoch's pairs in order. State: for each released identity, the turn that released it."""
+    """The pairs of connected requirements in order. State: for each released identity, the turn that released it."""
     released: dict[str, int] = {}
     group: list = []
 
@@ -166,7 +169,10 @@ def releases(pairs: DataFrame, occ: DataFrame) -> DataFrame:
     """Claims: per sentence the unique best still-standing requirement, each taken once per turn.
 
     A pair carries the last turn before it that stated the requirement; a release is undone by a
-    statement at or after it, so no statement itself enters the fold.
+    statement at or after it, so no statement itself enters the fold. A requirement that never shares
+    a sentence with another one is taken by the first sentence after each statement. Only where a
+    sentence has to choose does order matter, and only among the requirements that such sentences
+    connect: these are folded, one group of connected requirements at a time.
     """
     stated = occ.select(*EPOCH, "identity", F.col("turn_index").alias("stated")).distinct()
     asked = pairs.select(*EPOCH, "identity", F.col("turn_index").alias("stated")).distinct()
@@ -178,9 +184,19 @@ def releases(pairs: DataFrame, occ: DataFrame) -> DataFrame:
     ).where(~F.col("real")).select(
         *EPOCH, "identity", F.col("stated").alias("turn_index"), "last_stated"
     )
-    rows = pairs.join(last, [*EPOCH, "identity", "turn_index"])
-    ordered = rows.repartition(*EPOCH).sortWithinPartitions(*EPOCH, "turn_index", "pos", "identity")
-    return ordered.groupBy(*EPOCH).applyInPandas(_claim_releases, CLAIMS)
+    rows = stage(pairs.join(last, [*EPOCH, "identity", "turn_index"]).withColumn(
+        "node", F.xxhash64(*EPOCH, "identity")), "standing-pairs")
+    sentence = [*EPOCH, "turn_index", "pos"]
+    torn = rows.groupBy(*sentence).agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = connected(rows.join(torn.drop("n"), sentence).select("node", "first"), "node", "first")
+    names = [c.split()[0] for c in CLAIMS.split(", ")]
+    alone = rows.join(groups, "node", "left_anti").groupBy(*EPOCH, "identity", "last_stated").agg(
+        F.min_by(F.struct(*[c for c in names if c not in (*EPOCH, "identity")]), F.struct("turn_index", "pos"))
+        .alias("r")
+    ).select(*EPOCH, "identity", "r.*").select(*names)
+    by = [*EPOCH, "group"]
+    tied = rows.join(groups, "node").repartition(*by).sortWithinPartitions(*by, "turn_index", "pos", "identity")
+    return alone.unionByName(tied.groupBy(*by).applyInPandas(_claim_releases, CLAIMS))
 
 
 def ledger(occ: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -339,44 +355,100 @@ def surface_deltas(led: DataFrame, violated: DataFrame) -> DataFrame:
 MEDIANS = "stream_id string, epoch_before long, turn_index long, median_index double"
 
 
-def _median_of_standing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Median introduction turn of the standing set after every change, for one epoch."""
-    standing: list[int] = []
-    turn, head, out = None, None, []
-
-    def emit():
-        n = len(standing)
-        mid = (standing[(n - 1) // 2] + standing[n // 2]) / 2 if n else None
-        out.append((*head, turn, mid))
+def _medians_of_span(rows: pd.DataFrame) -> pd.DataFrame:
+    """Median introduction turn after every turn of one span of changes.
 
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            if turn is not None and r.turn_index != turn:
-                emit()
-            turn, head = r.turn_index, (r.stream_id, r.epoch_before)
-            if r.change > 0:
-                bisect.insort(standing, r.introduced_turn)
-            else:
-                del standing[bisect.bisect_left(standing, r.introduced_turn)]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MEDIANS.split(", ")])
-        out = []
-    if turn is not None:
-        emit()
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in MEDIANS.split(", ")])
+    Rows without a turn are the requirements around the median that stand before the span. `below` counts
+    the standing ones of lower rank blocks than `low`, `total` all; what lies above `high` is only counted.
+    """
+    rows = rows.sort_values("turn_index", na_position="first", kind="stable")
+    first = rows.iloc[0]
+    below, total = int(first["below"]), int(first["total"])
+    low = -1 if pd.isna(first["low"]) else int(first["low"])
+    high = None if pd.isna(first["high"]) else int(first["high"])
+    introduced = dict(zip(rows["rank"], rows["introduced_turn"]))
+    before = rows["turn_index"].isna()
+    held = sorted(rows["rank"][before])
+    out = []
+    for turn, changed in rows[~before].groupby("turn_index", sort=True):
+        for rank, block, change in zip(changed["rank"], changed["rank_block"], changed["change"]):
+            total += change
+            if block < low:
+                below += change
+            elif high is None or block <= high:
+                if change > 0:
+                    bisect.insort(held, rank)
+                else:
+                    del held[bisect.bisect_left(held, rank)]
+        mid = [introduced[held[k - below]] for k in ((total - 1) // 2, total // 2)] if total else None
+        out.append((first["stream_id"], first["epoch_before"], turn, sum(mid) / 2 if mid else None))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in MEDIANS.split(", ")])
+
+
+def _changed_medians(changes: DataFrame, size: int) -> DataFrame:
+    """Medians of epochs with releases. changes: (epoch, identity, turn_index, change, introduced_turn, rank).
+
+    Turns are cut into spans of about `size` changes, ranks into blocks of `size`. Counts per span and rank
+    block say where the median is when a span begins; it can't leave the ranks around it by more than the
+    changes of the span, so a span gets those requirements and its own changes, however many stand.
+    """
+    span = [*EPOCH, "span"]
+    per_turn = changes.groupBy(*EPOCH, "turn_index").agg(F.count("*").alias("n"))
+    cut = running(per_turn, EPOCH, ["turn_index"], block_of(F.col("turn_index"), TURN_BLOCK),
+                  {"before": Run("sum", F.col("n"), strict=True)})
+    changes = stage(changes.withColumn("rank_block", F.floor((F.col("rank") - 1) / size).cast("long")).join(
+        cut.select(*EPOCH, "turn_index", F.floor(F.col("before") / size).cast("long").alias("span")),
+        [*EPOCH, "turn_index"]), "changes")
+    spans = changes.groupBy(*span).agg(F.count("*").alias("n"))
+    last = spans.groupBy(*EPOCH).agg(F.max("span").alias("last"))
+
+    by_block = Window.partitionBy(*EPOCH, "rank_block").orderBy("span")
+    counts = (
+        changes.groupBy(*EPOCH, "rank_block", "span").agg(F.sum("change").alias("net"))
+        .withColumn("standing", F.sum("net").over(by_block)).withColumn("next", F.lead("span").over(by_block))
+        .where("standing > 0").join(last, EPOCH)
+        .withColumn("to", F.coalesce("next", "last")).where(F.col("to") > F.col("span"))
+        .select(*EPOCH, "rank_block", "standing", F.explode(F.sequence(F.col("span") + 1, "to")).alias("span"))
+        .join(spans, span)
+    )
+    up = Window.partitionBy(*span).orderBy("rank_block").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("through", F.sum("standing").over(up)).withColumn(
+        "total", F.sum("standing").over(Window.partitionBy(*span)))
+    mid, reach = (F.col("total") + 1) / 2, F.col("n") + 1
+    chosen = stage(placed.where(
+        (F.col("through") >= mid - reach) & (F.col("through") - F.col("standing") <= mid + reach)), "around-median")
+    frames = chosen.groupBy(*span).agg(
+        F.min(F.col("through") - F.col("standing")).alias("below"), F.max("total").alias("total"),
+        F.min("rank_block").alias("low"), F.max("rank_block").alias("high"), F.max("through").alias("top")
+    ).select(*span, "below", "total", F.when(F.col("below") > 0, F.col("low")).alias("low"),
+             F.when(F.col("top") < F.col("total"), F.col("high")).alias("high"))
+
+    stays = running(changes, [*EPOCH, "identity"], ["turn_index"], block_of(F.col("turn_index"), TURN_BLOCK),
+                    {"left": Run("last", F.col("span"), strict=True)}, descending=True
+                    ).where((F.col("change") > 0) & (F.col("left").isNull() | (F.col("left") > F.col("span"))))
+    held = chosen.select(*span, "rank_block").join(
+        stays.select(*EPOCH, "rank_block", F.col("span").alias("came"), "left", "rank", "introduced_turn"),
+        [*EPOCH, "rank_block"]
+    ).where((F.col("came") < F.col("span")) & (F.col("left").isNull() | (F.col("left") >= F.col("span"))))
+    rows = held.select(*span, F.lit(None).cast("long").alias("turn_index"), F.lit(1).alias("change"), "rank",
+                       "rank_block", "introduced_turn").unionByName(
+        changes.select(*span, "turn_index", "change", "rank", "rank_block", "introduced_turn"))
+    rows = rows.join(frames, span, "left").fillna(0, ["below", "total"])
+    return rows.groupBy(*span).applyInPandas(_medians_of_span, MEDIANS)
 
 
 def standing_medians(led: DataFrame, intro: DataFrame) -> DataFrame:
     """Median introduction turn of the standing requirements, at each turn that changes the set.
 
     Without a release in the epoch the standing set is the first k introductions, and the median is a
-    lookup by rank. Epochs with releases keep a sorted list over their change rows only.
+    lookup by rank. Epochs with releases are folded in spans of changes.
     """
     touched = led.where("released").select(*EPOCH).distinct()
-    plain = intro.join(touched, EPOCH, "left_anti").select(*EPOCH, "turn_index", "pos")
-    ranked = running(
-        plain, EPOCH, ["turn_index", "pos"], block_of(F.col("turn_index"), TURN_BLOCK),
-        {"rank": Run("sum", F.lit(1).cast("long"))},
+    order = running(
+        intro.select(*EPOCH, "turn_index", "pos", "identity"), EPOCH, ["turn_index", "pos"],
+        block_of(F.col("turn_index"), TURN_BLOCK), {"rank": Run("sum", F.lit(1).cast("long"))},
     )
+    ranked = order.join(touched, EPOCH, "left_anti")
     counts = ranked.groupBy(*EPOCH, "turn_index").agg(F.max("rank").alias("k"))
     at = ranked.select(*EPOCH, F.col("turn_index").alias("idx"), "rank")
     lo = at.select(*EPOCH, F.col("idx").alias("lo"), F.col("rank").alias("lo_rank"))
@@ -392,9 +464,7 @@ def standing_medians(led: DataFrame, intro: DataFrame) -> DataFrame:
     changes = (
         led.join(touched, EPOCH, "left_semi").where(was != now)
         .select(*EPOCH, "identity", "turn_index", (now - was).alias("change"))
-        .join(intro.select(*EPOCH, "identity", F.col("turn_index").alias("introduced_turn")),
+        .join(order.select(*EPOCH, "identity", F.col("turn_index").alias("introduced_turn"), "rank"),
               [*EPOCH, "identity"])
     )
-    ordered = changes.repartition(*EPOCH).sortWithinPartitions(*EPOCH, "turn_index")
-    folded = ordered.groupBy(*EPOCH).applyInPandas(_median_of_standing, MEDIANS)
-    return native.unionByName(folded)
+    return native.unionByName(_changed_medians(stage(changes, "changes"), current().turn_rows))

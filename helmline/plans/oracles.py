@@ -624,6 +624,14 @@ WHERE event_id % 5 <> 0 AND EXISTS (SELECT 1 FROM events c WHERE c.user_id % 3 <
     o["v04_prior_turns"] = q("""SELECT stream_id, turn_index, count(t) OVER w AS n, md5(coalesce(string_agg(t, '|') OVER w, '')) AS prior_md5 FROM (SELECT stream_id, turn_index, text AS t FROM turns)
 WINDOW w AS (PARTITION BY stream_id ORDER BY turn_index ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""", "turns")
     o["k02_releases"] = q(_CLAIMS + "SELECT stream_id, seq, pos, key, marker, round(cover, 10) AS cover FROM claims", "occ", "sent")
+    o["a02_surface_with_releases"] = q(_CLAIMS + """,
+ids AS (SELECT stream_id, epoch_before, identity, min(turn_index) AS t0 FROM occ GROUP BY 1, 2, 3),
+c AS (SELECT t.stream_id, t.seq, t.turn_index, i.identity, i.t0, (SELECT count(*) - 1 FROM occ o WHERE o.stream_id = t.stream_id AND o.epoch_before = t.epoch_before AND o.identity = i.identity AND o.turn_index <= t.turn_index) AS n
+  FROM turns t LEFT JOIN ids i ON i.stream_id = t.stream_id AND i.epoch_before = t.epoch_before AND i.t0 <= t.turn_index
+    AND NOT EXISTS (SELECT 1 FROM claims r WHERE r.stream_id = t.stream_id AND r.epoch_before = t.epoch_before AND r.identity = i.identity AND r.turn_index <= t.turn_index
+      AND NOT EXISTS (SELECT 1 FROM occ b WHERE b.stream_id = t.stream_id AND b.epoch_before = t.epoch_before AND b.identity = i.identity AND b.turn_index BETWEEN r.turn_index AND t.turn_index)))
+SELECT stream_id, seq, count(identity) AS unresolved, count(*) FILTER (identity IS NOT NULL AND n > 0) AS repeated, count(*) FILTER (t0 = turn_index) AS fresh,
+  round(avg(n) FILTER (identity IS NOT NULL), 10) AS mean_repeats, round(median(turn_index - t0) FILTER (identity IS NOT NULL), 10) AS median_age FROM c GROUP BY stream_id, seq""", "occ", "sent", "turns")
     o["k02_ledger_events"] = q(_CLAIMS + """SELECT stream_id, seq, pos, CASE WHEN repeat_count = 0 THEN 'introduced' WHEN EXISTS (
     SELECT 1 FROM claims c WHERE c.stream_id = s.stream_id AND c.epoch_before = s.epoch_before AND c.identity = s.identity AND c.turn_index <= s.turn_index
       AND NOT EXISTS (SELECT 1 FROM stated b WHERE b.stream_id = s.stream_id AND b.epoch_before = s.epoch_before AND b.identity = s.identity

@@ -777,13 +777,12 @@ def _(k):
         "forward", "control", "recovery", "restate", "other", "handoff")])
 
 
-@query("a02_obligation_surface", shaped=True)
-def _(k):
+def _surface(k, led, intro):
     from helmline.functions.ordered import TURN_BLOCK, Run, block_of, running
 
     none = k.occ.select(*O.EPOCH, "identity", "turn_index").limit(0)
-    deltas = O.surface_deltas(k.plain_ledger, none)
-    med = O.standing_medians(k.plain_ledger, k.intro).withColumn("m", F.struct("median_index"))
+    deltas = O.surface_deltas(led, none)
+    med = O.standing_medians(led, intro).withColumn("m", F.struct("median_index"))
     keys = [*O.EPOCH, "turn_index"]
     t = k.turns.select(*keys, "seq").join(deltas, keys, "left").join(med.select(*keys, "m"), keys, "left")
     d = running(t, O.EPOCH, ["turn_index"], block_of(F.col("turn_index"), TURN_BLOCK), {
@@ -795,6 +794,16 @@ def _(k):
         rounded(F.when(F.col("unresolved") > 0, F.col("turn_index") - F.col("standing.median_index")), "median_age"))
 
 
+@query("a02_obligation_surface", shaped=True)
+def _(k):
+    return _surface(k, k.plain_ledger, k.intro)
+
+
+@query("a02_surface_with_releases", shaped=True)
+def _(k):
+    return _surface(k, k.a.ledger, k.a.introductions)
+
+
 @query("a03_dereference", shaped=True)
 def _(k):
     return P.reliability(k.marked, P.outcomes(k.marked)).select(
