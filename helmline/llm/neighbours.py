@@ -12,9 +12,10 @@ Passes are dealt out by ranges of the order; the ends of a range are compared wi
 their own. Directions follow from the seed, so a lost task gives the same rows again. Equal vectors are collapsed first:
 one of them takes part, the others are linked to it and to all that it is linked to.
 
-Null vectors, zero vectors and vectors with null or non-finite components link with nothing, and neither do vectors
-whose length is not the commonest one's; they come out with no links, in a component of their own. Null ids come out
-with null component unless linked to an id. Repeated rows count as vectors of their own. Other columns are not read.
+Vectors of each length are compared among themselves. Null, empty and zero vectors and vectors with null or non-finite
+components link with nothing; they come out with no links, in a component of their own. Components are scaled by a power
+of two first, so that very large and very small ones neither overflow nor vanish. Null ids come out with null component
+unless linked to an id. Repeated rows count as vectors of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -85,17 +87,26 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def links(classes: DataFrame, dims: int, passes: int, window: int, least: float) -> DataFrame:
-    """(a, b), a < b: classes (cid bigint, vec binary of doubles) that some pass verified."""
+def by_length(column: pa.Array) -> Iterator[np.ndarray]:
+    """The places of the vectors of each length."""
+    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        yield np.flatnonzero(sizes == size)
+
+
+def links(classes: DataFrame, passes: int, window: int, least: float) -> DataFrame:
+    """(a, b), a < b: classes (cid bigint, vec binary of doubles) that some pass verified. A length has passes of its own."""
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _vectors(batch.column("vec"))
-            for p in range(passes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), p, np.int32)), pa.array(order_keys(x, p)), batch.column("cid"), batch.column("vec")],
-                    ["pass", "key", "cid", "vec"])
+            for at in by_length(batch.column("vec")):
+                own = batch.take(pa.array(at))
+                x = _vectors(own.column("vec"))
+                for p in range(passes):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), x.shape[1] * passes + p, np.int64)), pa.array(order_keys(x, p)), own.column("cid"),
+                         own.column("vec")], ["pass", "key", "cid", "vec"])
 
-    keyed = staged(classes.mapInArrow(project, "pass int, key bigint, cid bigint, vec binary"))
+    keyed = staged(classes.mapInArrow(project, "pass bigint, key bigint, cid bigint, vec binary"))
     # A range holds many windows on average, so that no window reaches over a whole range.
     parts = max(min(shuffle_partitions(classes.sparkSession), keyed.count() // (16 * window)), 1)
     ordered = keyed.repartitionByRange(parts, "pass", "key", "cid").sortWithinPartitions("pass", "key", "cid")
@@ -118,7 +129,7 @@ def links(classes: DataFrame, dims: int, passes: int, window: int, least: float)
                 a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
                 n = len(a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, passes_of[start], np.int32)),
+                    [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, passes_of[start], np.int64)),
                      pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
             reach = 4 * window
             edges = [(1, range(start, min(start + reach, stop)), start == 0), (2, range(max(stop - reach, start), stop), stop == len(passes_of))]
@@ -130,7 +141,7 @@ def links(classes: DataFrame, dims: int, passes: int, window: int, least: float)
                         [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), own["pass"].combine_chunks(),
                          own["cid"].combine_chunks(), pa.nulls(n, pa.int64()), own["key"].combine_chunks(), own["vec"].combine_chunks()], names)
 
-    found = staged(ordered.mapInArrow(compare, "kind int, part int, pass int, a bigint, b bigint, key bigint, vec binary"))
+    found = staged(ordered.mapInArrow(compare, "kind int, part int, pass bigint, a bigint, b bigint, key bigint, vec binary"))
 
     def across(rows: pa.Table) -> pa.Table:
         """Links between the end of one range and the start of the next, of one pass."""
@@ -149,19 +160,21 @@ def links(classes: DataFrame, dims: int, passes: int, window: int, least: float)
     return found.where("kind = 0").select("a", "b").union(borders).distinct()
 
 
-def completed(held: DataFrame, dims: int, least: float, rows: int) -> DataFrame:
+def completed(held: DataFrame, least: float) -> DataFrame:
     """(cid, linked, other): links of the members of open components to all vectors of held, in parts to be added up.
 
     held: (cid, vec, key, copies, own): own is the open component of a vector, or null; key are its bits in the first
     pass. linked counts copies; other is a linked member of another component than that of cid, or null. A cell has
-    about `rows` vectors at most.
+    about CELL_BYTES of vectors at most, or 256 of them where these are longer.
     """
-    sizes = held.where("own is not null").groupBy("own").count().select(F.col("own").alias("of"), F.col("count").alias("size"))
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / rows))).cast("int")
+    rows = F.greatest(F.floor(F.lit(CELL_BYTES) / F.length("vec")), F.lit(256))
+    sizes = held.where("own is not null").groupBy("own").agg(
+        F.count("*").alias("size"), F.max(rows).alias("rows")).withColumnRenamed("own", "of")
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / F.col("rows")))).cast("int")
     members = held.where("own is not null").join(sizes, F.col("own") == F.col("of")).withColumn(
         "prefix", F.floor(F.col("key") / F.pow(F.lit(2.0), BITS - depth)).cast("bigint"))
-    counts = members.groupBy("own", "prefix").count().select(
-        F.col("own").alias("of_own"), F.col("prefix").alias("of_prefix"), F.ceil(F.col("count") / rows).alias("salts"))
+    counts = members.groupBy("own", "prefix").agg(F.ceil(F.count("*") / F.max("rows")).alias("salts")).select(
+        F.col("own").alias("of_own"), F.col("prefix").alias("of_prefix"), "salts")
     members = members.join(counts, (F.col("own") == F.col("of_own")) & (F.col("prefix") == F.col("of_prefix"))).select(
         F.xxhash64("own", "prefix", F.pmod(F.xxhash64("cid"), "salts")).alias("cell"), "cid", "vec", "copies", "own")
     members = staged(members)
@@ -177,11 +190,11 @@ def completed(held: DataFrame, dims: int, least: float, rows: int) -> DataFrame:
         return pa.table({"cell": rows_of["cell"].slice(0, 1), "centre": pa.array([c.astype("<f8").tobytes()], pa.binary()), "low": [low]})
 
     pivots = staged(members.groupBy("cell").applyInArrow(shape, "cell bigint, centre binary, low double"))
-    packs, blocks = -(-pivots.count() // PACK), -(-held.count() // rows)
+    packs, blocks = -(-pivots.count() // PACK), int(np.ceil(held.agg(F.sum(1 / rows)).first()[0]))
     held = held.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
-    spread = pivots.select("*", F.pmod(F.xxhash64("cell"), F.lit(packs)).cast("int").alias("pack")).withColumn(
+    spread = pivots.select("*", F.length("centre").alias("size"), F.pmod(F.xxhash64("cell"), F.lit(packs)).cast("int").alias("pack")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = held.select("block", "cid", "vec", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"))
+    asked = held.select("block", "cid", "vec", F.length("vec").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"))
 
     def candidates(vectors: pa.Table, cells: pa.Table) -> pa.Table:
         """The vectors of a block that may be linked to a member of a cell."""
@@ -192,7 +205,7 @@ def completed(held: DataFrame, dims: int, least: float, rows: int) -> DataFrame:
         return pa.table({"cell": cells["cell"].to_numpy()[k], "block": np.full(len(i), vectors["block"][0].as_py(), np.int32),
                          "cid": vectors["cid"].to_numpy()[i]})
 
-    near = staged(asked.groupBy("block", "pack").cogroup(spread.groupBy("block", "pack")).applyInArrow(
+    near = staged(asked.groupBy("block", "pack", "size").cogroup(spread.groupBy("block", "pack", "size")).applyInArrow(
         candidates, "cell bigint, block int, cid bigint"))
     met = near.select(F.col("cell").alias("met"), F.col("block").alias("met_block")).distinct()
     left = near.join(held.select(F.col("cid").alias("held_id"), "vec", "copies", "own"), F.col("cid") == F.col("held_id"))
@@ -229,12 +242,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                     passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; see the module for rows that link with nothing."""
     rows = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sound = F.coalesce((squares > 0) & (squares < float("inf")) & ~F.isnan(squares), F.lit(False))
-    rows = rows.withColumn("sound", sound)
-    usual = rows.where("sound").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = usual.n if usual else 1
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("v") == dims))
+    finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    rows = rows.withColumn("sound", F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
     alone = rows.where("not sound").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     whole = staged(rows.where("sound").select("vec_id", "v", F.xxhash64("v").alias("v_hash")))
@@ -244,13 +253,17 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(order_keys(x, 0)), batch.column("copies")],
-                ["cid", "vec", "key", "copies"])
+            sizes = pa.compute.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                own = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                x = own.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(own.num_rows, -1)
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("cid"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(order_keys(x, 0)), own.column("copies")],
+                    ["cid", "vec", "key", "copies"])
 
     packed = staged(classes.select("cid", "v", "copies").mapInArrow(pack, "cid bigint, vec binary, key bigint, copies bigint"))
-    pairs = staged(links(packed.select("cid", "vec"), dims, passes, window, least))
+    pairs = staged(links(packed.select("cid", "vec"), passes, window, least))
     found = components(pairs)
     large = found.groupBy("component").count().where(F.col("count") > window // 2).select(F.col("component").alias("own"))
     held = staged(packed.join(found.join(large, F.col("component") == F.col("own")).select("node", "own"), F.col("cid") == F.col("node"), "left").select(
@@ -259,7 +272,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     copies = held.where("own is null").select(F.col("cid").alias("other"), "copies")
     parts = ends.select("e.a", "e.b").join(copies, F.col("b") == F.col("other")).select("a", F.col("copies").alias("n"))
     if held.where("own is not null").limit(1).count():
-        more = staged(completed(held, dims, least, max(CELL_BYTES // (8 * dims), 256)))
+        more = staged(completed(held, least))
         parts = parts.union(more.select("cid", "linked"))
         across = more.where("other is not null").select("cid", "other")
         if across.limit(1).count():

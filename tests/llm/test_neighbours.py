@@ -57,3 +57,34 @@ def test_group_around_the_bound_whole(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         neighbours.CELL_BYTES = cell
+
+
+def test_every_length_and_scale(spark):
+    """Vectors of each length link among themselves, whatever their scale; null and repeated ids keep their rows."""
+    rng = np.random.default_rng(11)
+    rows, vectors = [], []
+    for dims, n, tight in ((16, 120, 40), (3, 30, 6), (2, 2, 0), (1, 4, 0)):
+        x = rng.standard_normal((n, dims))
+        if tight:
+            x[:tight] = rng.standard_normal(dims) + rng.standard_normal((tight, dims)) * 0.03
+        vectors += list(x)
+    vectors += [np.array([1e200, 2e200]), np.array([1e-200, 2.0001e-200]), np.array([3.0, 6.0]), np.array([5e-324, 1e-323])]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(vectors)]
+    rows += [(None, [float(c) for c in vectors[0]]), (5, [float(c) for c in vectors[5]]), (None, None)]
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    unit = [None if v is None else (lambda w: w / np.linalg.norm(w))(np.array(v) / np.abs(v).max()) for _, v in rows]
+
+    def near(a, b):
+        return a is not None and b is not None and len(a) == len(b) and a @ b >= 0.95
+
+    n_links = [sum(near(a, b) for j, b in enumerate(unit) if j != i) for i, a in enumerate(unit)]
+    assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links) for r in got) == sorted(
+        (-1 if i is None else i, n) for (i, _), n in zip(rows, n_links))
+    at = {i: next(k for k, (j, _) in enumerate(rows) if j == i) for i, _ in rows if i is not None}
+    for r in got:
+        if r.vec_id is not None and r.component_id != r.vec_id:
+            assert len(unit[at[r.vec_id]]) == len(unit[at[r.component_id]])
+            assert not r.kept
+    by_id = {r.vec_id: r for r in got if r.vec_id is not None}
+    first = len(vectors) - 4
+    assert len({by_id[first + k].component_id for k in range(4)}) == 1
