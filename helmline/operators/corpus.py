@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helmline.functions.ordered import Run, running
+from helmline.functions.ordered import RECORD_BLOCK, Run, block_of, dense_seq, running
 
 
 def survey(features: DataFrame) -> DataFrame:
@@ -103,3 +107,50 @@ def content_hash(lines: DataFrame, key: str, order: str, text: str) -> DataFrame
         key, *[F.conv(F.substring("h", 16 * i + 1, 15), 16, 10).cast("long").alias(n) for i, n in enumerate(lanes)])
     folded = d.groupBy(key).agg(F.count("*").alias("n"), *[F.bit_xor(n).alias(n) for n in lanes])
     return folded.select(key, F.sha2(F.concat_ws(":", "n", *lanes), 256).alias("sha256"))
+
+
+def _sha256_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One key's rows by file and place, batch by batch."""
+    h, key, name = hashlib.sha256(), None, None
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.name != name:
+                h.update(row.name.encode() + b"\x00")
+            key, name = row.key, row.name
+            h.update(row.bytes)
+    yield pd.DataFrame({"key": [key], "sha256": [h.hexdigest()]})
+
+
+def file_digest(lines: DataFrame, key: str, name: str, order: str, text: str) -> DataFrame:
+    """SHA-256 per key of its files by name: each name, a NUL, and the file's bytes.
+
+    lines: one row per line, its ending included; a null text adds no bytes, so such a row stands for an empty
+    file. A null name is an empty one; rows without a key are left out. The digest is one chain over all bytes, so
+    a key is one task, which holds a batch of its rows at a time; `tree_digest` has no such chain.
+    """
+    d = lines.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), F.coalesce(F.col(name), F.lit("")).alias("name"), F.col(order).alias("place"),
+        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+    ordered = d.repartition("key").sortWithinPartitions("key", "name", "place", "bytes")
+    return ordered.groupBy("key").applyInPandas(_sha256_of_files, "key string, sha256 string").withColumnRenamed("key", key)
+
+
+#: Children of a node of the tree, and its levels: places for 4096 ** 4 rows of a key.
+TREE_ROWS, TREE_LEVELS = 4096, 4
+
+
+def tree_digest(lines: DataFrame, key: str, order: str, text: str, rows: int = TREE_ROWS) -> DataFrame:
+    """Ordered digest per key without a chain over its rows: SHA-256 of the SHA-256 of each line, up a tree.
+
+    Lines are ranked by `order`, whole numbers that no two rows of a key share; a null text counts as an empty one.
+    Every key has the same levels, so its digest depends on its own rows alone. Rows without a key are left out.
+    """
+    d = dense_seq(
+        lines.where(F.col(key).isNotNull()).select(
+            F.col(key).alias("key"), F.col(order).alias("place"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h")),
+        ["key"], ["place"], block_of(F.col("place"), RECORD_BLOCK), "at").withColumn("at", F.col("at") - 1)
+    for _ in range(TREE_LEVELS):
+        d = d.groupBy("key", F.floor(F.col("at") / rows).alias("up")).agg(
+            F.array_sort(F.collect_list(F.struct("at", "h"))).alias("below")
+        ).select("key", F.col("up").alias("at"), F.sha2(F.array_join(F.transform("below", lambda b: b["h"]), ""), 256).alias("h"))
+    return d.select(F.col("key").alias(key), F.col("h").alias("sha256"))

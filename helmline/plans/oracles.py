@@ -586,6 +586,12 @@ SELECT 'obligation' AS family, 'a' AS labeler_a, 'b' AS labeler_b, u AS units, r
     lanes = [f"bit_xor(('0x' || substr(h, {16 * i + 1}, 15))::BIGINT)" for i in range(4)]
     o["a20_content_hash"] = f"""SELECT id, sha256(count(*) || ':' || {" || ':' || ".join(lanes)}) AS sha256
 FROM (SELECT conv_id::VARCHAR AS id, sha256(turn || chr(0) || coalesce(text, '')) AS h FROM conversations) GROUP BY 1"""
+    o["a20_file_digest"] = """SELECT id, sha256(string_agg(name || chr(0) || body, '' ORDER BY name)) AS sha256 FROM (
+  SELECT conv_id::VARCHAR AS id, coalesce(role || '.jsonl', '') AS name, coalesce(string_agg(text || chr(10), '' ORDER BY turn), '') AS body FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
+    tree = "SELECT conv_id::VARCHAR AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, sha256(coalesce(text, '')) AS h FROM conversations WHERE conv_id IS NOT NULL"
+    for _ in range(4):
+        tree = f"SELECT id, up AS place, sha256(string_agg(h, '' ORDER BY place)) AS h FROM (SELECT *, place // 4096 AS up FROM ({tree})) GROUP BY id, up"
+    o["a20_tree_digest"] = f"SELECT id, h AS sha256 FROM ({tree})"
     o["l01_top_inflation"] = q("""SELECT stream_id, seq, round(chars / 100.0, 10) AS inflation, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY chars DESC, seq) AS r FROM turns WHERE seq % 3 > 0) WHERE r <= 3""", "turns")
     o["l02_newest_sessions"] = """SELECT id, root FROM (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS root, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR) AS n FROM events)
 WHERE n <= 3 ORDER BY ts DESC, id LIMIT 15"""

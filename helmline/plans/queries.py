@@ -912,6 +912,21 @@ def _(k):
     return C.content_hash(d, "id", "turn", "text")
 
 
+@query("a20_file_digest")
+def _(k):
+    c = F.col
+    d = k.table("conversations").select(
+        c("conv_id").cast("string").alias("id"), F.concat("role", F.lit(".jsonl")).alias("name"), "turn",
+        F.concat("text", F.lit("\n")).alias("line"))
+    return C.file_digest(d, "id", "name", "turn", "line")
+
+
+@query("a20_tree_digest")
+def _(k):
+    d = k.table("conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", "text")
+    return C.tree_digest(d, "id", "turn", "text")
+
+
 # ---- top-k, sampling, sets ---------------------------------------------------------------------
 @query("l01_top_inflation", shaped=True)
 def _(k):
